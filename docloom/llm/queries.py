@@ -5,11 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import bpe, mixing
+from docloom.llm import bpe, mixing, splitting, vectors
 from docloom.session import table
 
 
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.split(table(spark, folder, "chunks")).distinct()
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.split(table(spark, folder, "chunks")).where("pieces > 1").select("doc_id", "idx").distinct()
+
+
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.neighbours(table(spark, folder, "vectors"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = p4_neighbours(spark, folder)
+    return near.select(F.least("vec_id", "other_id").alias("vec_a"), F.greatest("vec_id", "other_id").alias("vec_b")).distinct()
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_ids(table(spark, folder, "documents"))
 
