@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, mixing, splitting, vectors
+from docloom.llm import bpe, history, mixing, splitting, vectors
 from docloom.session import table
 
 
@@ -19,6 +19,16 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split(table(spark, folder, "chunks")).where("pieces > 1").select("doc_id", "idx").distinct()
 
 
+def p3_links(spark: SparkSession, folder: str) -> DataFrame:
+    docs = history.link_batches(history.DocumentHistory(spark), table(spark, folder, "documents"))
+    entries = history.link_batches(history.EntryHistory(spark), table(spark, folder, "entries"))
+    return docs.select(F.lit("documents").alias("tbl"), "*").unionByName(entries.select(F.lit("entries").alias("tbl"), "*"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_links(spark, folder).select("tbl", "first_id", "dup_id").distinct()
+
+
 def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.neighbours(table(spark, folder, "vectors"))
 

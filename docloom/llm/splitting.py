@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: What str.strip() takes for white space (fixed values).
-SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _PLACES = regex.compile(r"[\s\x1c-\x1f]+|(?<=[。！？；，、])(?=\S)")
 _CLOSERS = "\"'”’»)]}"
 _RANK = {**dict.fromkeys(".!?…。！？", 4), **dict.fromkeys(";:；：", 3), **dict.fromkeys(",，、–—", 2)}
@@ -37,7 +37,7 @@ def boundaries(text: str) -> tuple[list[int], list[int]]:
         gap = m.group()
         if "\f" in gap:
             s = PAGE
-        elif gap.count("\n") > 1 or " " in gap:
+        elif gap.count("\n") > 1 or "\u2029" in gap:
             s = PARAGRAPH
         else:
             c = text[p - 1]
