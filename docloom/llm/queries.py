@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, history, mixing, splitting, vectors
+from docloom.llm import bpe, history, mixing, names, splitting, vectors
 from docloom.session import table
 
 
@@ -38,6 +38,14 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.least("vec_id", "other_id").alias("vec_a"), F.greatest("vec_id", "other_id").alias("vec_b")).distinct()
 
 
+def p6_names(spark: SparkSession, folder: str) -> DataFrame:
+    return names.link(names.stored_spellings(table(spark, folder, "zotero_items"), table(spark, folder, "works"), table(spark, folder, "refs")))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.variant_pairs(p6_names(spark, folder))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_ids(table(spark, folder, "documents"))
 
