@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, history, mixing, names, splitting, vectors
+from docloom.llm import bpe, history, levels, mixing, names, splitting, vectors
 from docloom.session import table
 
 
@@ -62,6 +62,14 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).shares
 
 
+def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return levels.grade(table(spark, folder, "documents"), table(spark, folder, "level_labels"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_levels(spark, folder).select("doc_id", "level")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
