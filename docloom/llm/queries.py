@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, history, levels, mixing, names, splitting, vectors
+from docloom.llm import bpe, citations, history, levels, mixing, names, splitting, vectors
 from docloom.session import table
 
 
+def p1_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return citations.match(table(spark, folder, "refs"), table(spark, folder, "works"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    bare = table(spark, folder, "refs").where("doi is null and pmid is null").select("ref_id")
+    return p1_matches(spark, folder).join(bare, "ref_id", "left_semi").select("ref_id", "work_id").distinct()
+
+
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split(table(spark, folder, "chunks")).distinct()
 
