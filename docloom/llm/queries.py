@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, citations, history, levels, mixing, names, splitting, vectors
+from docloom.llm import bpe, citations, history, levels, mixing, names, scans, splitting, vectors
 from docloom.session import table
 
 
@@ -47,6 +47,15 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.least("vec_id", "other_id").alias("vec_a"), F.greatest("vec_id", "other_id").alias("vec_b")).distinct()
 
 
+def p5_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.read_pages(table(spark, folder, "chunks"), table(spark, folder, "ocr_results"), table(spark, folder, "documents"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    marks = p5_pages(spark, folder).select("tbl", "doc_id", "page", F.explode("marks").alias("m"))
+    return marks.select("tbl", "doc_id", "page", "m.line_no", "m.kind").distinct()
+
+
 def p6_names(spark: SparkSession, folder: str) -> DataFrame:
     return names.link(names.stored_spellings(table(spark, folder, "zotero_items"), table(spark, folder, "works"), table(spark, folder, "refs")))
 
