@@ -69,9 +69,9 @@ def garbage_ratio(c: Column) -> Column:
 
 def human_size(n: Column) -> Column:
     def shown(power: int, unit: str) -> Column:
-        return F.concat(F.format_string("%.1f", n / float(1024**power)), F.lit(f" {unit}"))
+        return F.concat(F.format_string("%.1f", F.bround(n / float(1024**power), 1)), F.lit(f" {unit}"))
 
-    return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).when(n < 1024**2, shown(1, "KB")).when(n < 1024**3, shown(2, "MB")).otherwise(shown(3, "GB"))
+    return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).when(n < 1024**2, shown(1, "KB")).when(n < 1024**3, shown(2, "MB")).when(n.isNotNull(), shown(3, "GB"))
 
 
 def human_when(age: Column, stamp: Column) -> Column:
