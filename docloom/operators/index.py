@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.columns import INDEX_TOKEN, matches
 from docloom.functions.norm import phonetic_udf
+from docloom.session import spread
 
 
 def chunk_rows(chunks: DataFrame) -> DataFrame:
@@ -34,7 +35,8 @@ def vocabulary_words(text: Column) -> Column:
 def doc_terms(docs: DataFrame) -> DataFrame:
     """(doc_id, term, n) over title and text; the vocabulary is the sum of these, never kept apart."""
     both = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
-    return docs.where("doc_id is not null").select("doc_id", F.explode(vocabulary_words(both)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    rows = spread(docs.where("doc_id is not null").select("doc_id", "title", "text"))
+    return rows.select("doc_id", F.explode(vocabulary_words(both)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
 def vocabulary(terms: DataFrame) -> DataFrame:

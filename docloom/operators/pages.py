@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions.columns import line_template
 from docloom.functions.norm import normalize
+from docloom.session import spread
 
 _BLANK = re.compile(r"\n\s*\n")
 
@@ -59,7 +60,7 @@ def chunk_documents(docs: DataFrame, target: int = 1100, overlap: int = 150) ->
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["doc_id", "idx", "page", "text", "norm"])
 
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    return rows.mapInArrow(run, "doc_id bigint, idx int, page int, text string, norm string")
+    return spread(rows).mapInArrow(run, "doc_id bigint, idx int, page int, text string, norm string")
 
 
 def fixed_windows(docs: DataFrame, width: int = 2200, overlap: int = 150) -> DataFrame:

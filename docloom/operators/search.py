@@ -6,8 +6,11 @@ collection statistics come from one aggregate of one row, and each route ends in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +18,7 @@ from pyspark.sql.window import Window
 from docloom.functions.columns import INDEX_TOKEN
 from docloom.functions.norm import snippet_udf, tokens
 from docloom.operators.index import chunk_rows, index_tokens
+from docloom.session import cut, spread
 
 K1, B = 1.2, 0.75
 KEY = ["doc_id", "idx"]
@@ -35,10 +39,19 @@ def occurrences(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
 
+def phrase_count(norm: Column, term: str) -> Column:
+    """Occurrences of a term as whole tokens; only rows with its letters are taken apart."""
+    parts = phrase(term).split()
+    there = _all([F.contains(norm, F.lit(p)) for p in parts]) if parts else F.lit(False)
+    return F.when(there, occurrences(spaced(norm), phrase(term))).otherwise(0)
+
+
 def bm25(rows: DataFrame, tf: list[Column], dl: Column, keep: list[str]) -> DataFrame:
     """keep, tf0.. and score of all rows, with statistics over all rows; phrases that most rows have score almost nothing."""
     n = len(tf)
-    counted = rows.select(*keep, dl.cast("double").alias("dl"), *(c.alias(f"tf{i}") for i, c in enumerate(tf)))
+    # Statistics, scores and the test for strict hits all need the counts: a few numbers a row, written
+    # once, instead of three scans of the texts.
+    counted = cut(rows.select(*keep, dl.cast("double").alias("dl"), *(c.alias(f"tf{i}") for i, c in enumerate(tf))), "counted")
     stats = counted.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(n)))
     both = counted.crossJoin(F.broadcast(stats))  # one row
 
@@ -67,8 +80,9 @@ def keyword(chunks: DataFrame, groups: list[list[str]], limit: int, doc_ids: Dat
     flat = [t for g in groups for t in g]
     if not flat:
         return chunks.sparkSession.createDataFrame([], "doc_id bigint, idx int, score double")
-    rows = chunk_rows(chunks).select(*KEY, "norm", spaced(F.col("norm")).alias("s"), F.size(index_tokens(F.col("norm"))).alias("len"))
-    scored = bm25(rows, [occurrences(F.col("s"), phrase(t)) for t in flat], F.col("len"), KEY)
+    rows = spread(chunks.select(*KEY, "norm", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("text")))
+    rows = chunk_rows(rows).select(*KEY, "norm")
+    scored = bm25(rows, [phrase_count(F.col("norm"), t) for t in flat], F.regexp_count("norm", F.lit(INDEX_TOKEN)), KEY)
     at, hits = 0, []
     for g in groups:
         hits.append(_any([F.col(f"tf{i}") > 0 for i in range(at, at + len(g))]))
@@ -113,13 +127,32 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def semantic(vectors: DataFrame, query: list[float], model: str, limit: int, floor: float = 0.15, doc_ids: DataFrame | None = None) -> DataFrame:
-    """doc_id, idx, score: chunks by cosine with the query vector, best first, above the floor."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    rows = usable_vectors(vectors.where((F.col("model") == model) & (F.col("dim") == len(query))))
+    """doc_id, idx, score: chunks by cosine with the query vector, best first, above the floor.
+
+    A batch of vectors is one matrix product; only what passes the floor leaves the scan (the floor is
+    below every kept score, so taking it before the limit changes nothing). Broken vectors don't answer.
+    """
+    q = np.asarray(query, float)
+    q = q / (np.linalg.norm(q) or 1.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column(2)
+            whole = np.nonzero((v.value_lengths().fill_null(0).to_numpy() == len(q)) & ~v.is_null().to_numpy(zero_copy_only=False))[0]
+            part = b.take(pa.array(whole))
+            x = part.column(2).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, len(q))
+            n = np.sqrt((x * x).sum(1))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                s = np.round((x @ q) / n, 6)
+            hit = np.nonzero(np.isfinite(n) & (n > 0) & (s > floor))[0]
+            take = pa.array(hit)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(s[hit])], names=["doc_id", "idx", "score"])
+
+    rows = vectors.where((F.col("model") == model) & (F.col("dim") == len(query)))
     if doc_ids is not None:
         rows = rows.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    scored = rows.select(*KEY, F.round(dot(unit(F.col("vec")), unit(q)), 6).alias("score")).groupBy(*KEY).agg(F.max("score").alias("score"))
-    return scored.orderBy(F.desc("score"), *KEY).limit(limit).where(F.col("score") > floor)
+    scored = rows.select(*KEY, "vec").mapInArrow(run, "doc_id bigint, idx int, score double").groupBy(*KEY).agg(F.max("score").alias("score"))
+    return scored.orderBy(F.desc("score"), *KEY).limit(limit)
 
 
 def fuse(routes: dict[str, DataFrame], limit: int, k: int = 60) -> DataFrame:
@@ -171,7 +204,7 @@ def search_documents(docs: DataFrame, text: str, limit: int = 20, title_weight:
     def tidy(c: Column) -> Column:
         return F.concat(F.lit(" "), F.array_join(index_tokens(F.lower(F.coalesce(c, F.lit("")))), "  "), F.lit(" "))
 
-    rows = docs.where("doc_id is not null").select("doc_id", tidy(F.col("title")).alias("t"), tidy(F.left("text", F.lit(cap))).alias("b"))
+    rows = spread(docs.where("doc_id is not null").select("doc_id", "title", "text")).select("doc_id", tidy(F.col("title")).alias("t"), tidy(F.left("text", F.lit(cap))).alias("b"))
     last = len(words) - 1
     tf: list[Column] = []
     for i, w in enumerate(words):

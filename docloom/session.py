@@ -62,6 +62,16 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its scan has fewer partitions than half of them (one small file), else as it is.
+
+    For work that costs far more than moving the rows. A large table has partitions enough and isn't
+    shuffled; the result is the same either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def sweep(spark: SparkSession) -> None:
     """Remove every table that cut() has written in this application."""
     jvm = spark.sparkContext._jvm
