@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import spread
+
 #: The public pre-tokenising pattern of byte_bpe_50k (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker remembers between batches; beyond it the memory starts anew, ids stay equal.
@@ -183,7 +185,7 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", path: st
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), ids], names=[key, "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(docs.select(F.col(key), F.col(text))).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def token_counts(docs: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
@@ -199,4 +201,4 @@ def token_counts(docs: DataFrame, keep: list[str], text: str = "text", path: str
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(len(keep))), n], names=[*keep, "n_tokens"])
 
     shape = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, F.col(text)).mapInArrow(run, f"{shape}, n_tokens bigint")
+    return spread(docs.select(*keep, F.col(text))).mapInArrow(run, f"{shape}, n_tokens bigint")

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import cut
+from docloom.session import cut, spread
 
 LANGS = ("en", "de", "fr", "es")
 #: Function words, by which prose and its language are told (fixed values).
@@ -98,7 +98,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 n.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
-    return docs.where("text is not null").select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(docs.where("text is not null").select("text")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def features(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array(n, pa.int32()), pa.array(langs, pa.string()), *(pa.array(x[:, j].copy()) for j in range(x.shape[1]))], names=["doc_id", "words", "lang", *FEATURES])
 
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    return rows.mapInArrow(run, "doc_id bigint, words int, lang string, " + ", ".join(f"{f} double" for f in FEATURES))
+    return spread(rows).mapInArrow(run, "doc_id bigint, words int, lang string, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 @dataclass
