@@ -32,12 +32,12 @@ def scanned(spark):
             want |= {(d, p, 0, "furniture"), (d, p, len(rows) - 1, "furniture")}
             for i in range(1, len(rows) - 1):
                 good, bad = FAULTS[(d + p + i) % len(FAULTS)]
-                if i % 3 == 1 and good in rows[i].split()[:-1]:
+                if good in rows[i].split()[:-1]:
                     rows[i] = rows[i].replace(good, bad, 1)
                     want.add((d, p, i, "misread"))
             for i in range(2, len(rows) - 2):
                 nxt = rows[i + 1].split()
-                if i % 4 == 3 and len(nxt[0]) > 7 and nxt[0].isalpha():
+                if i % 4 == 3 and len(nxt[0]) > 7 and nxt[0].isalpha() and nxt[0] in words:
                     rows[i] += " " + nxt[0][:4] + "-"
                     rows[i + 1] = " ".join([nxt[0][4:], *nxt[1:]])
                     want.add((d, p, i, "hyphen"))
