@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,24 @@ def local_session(cores: str = "*", shuffle: int = 8, memory: str = "8g") -> Spa
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers of the session this package, wherever the session was started."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="docloom-code-")
+    atexit.register(_remove, folder)
+    with zipfile.ZipFile(f"{folder}/docloom.zip", "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(f"{folder}/docloom.zip")  # Spark serves it to the executors
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where that is unset (tests) a local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
