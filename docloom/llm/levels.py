@@ -48,11 +48,15 @@ _CLAUSE = regex.compile(r"[,;:(–—]")
 _BREAK = regex.compile(r"(?<=\p{L})[-‐¬­][ \t]*\n[ \t]*(?=\p{Ll})")
 _HEADING = regex.compile(r"(?mi)^\s*(?:\[\d+\].*|\d+\.\s.*\b(?:19|20)\d\d.*|#+ .*|references|literatur|références|referencias|bibliograph\w*)\s*$")
 _sets = {g: {w: 0 for w in FUNCTION[g].split()} for g in LANGS}
-FEATURES = ("word_length", "long_words", "very_long_words", "sentence_length", "longest_sentences", "diversity", "rarity", "rare_words", "connectives", "clause_marks", "function_words", "short_words")
+FEATURES = (
+    "word_length", "long_words", "very_long_words", "sentence_length", "clause_depth", "diversity", "rarity", "rare_words", "connectives", "clause_marks", "function_words", "short_words",
+    # Of the sentences, which tell more than means where easy and hard ones mix:
+    "median_sentence", "sentences_14", "sentences_24", "median_longest_word", "sentences_word_13", "sentences_word_9", "median_word_length", "sentences_mean_55", "sentences_mean_65", "sentences_mean_43",
+)
 
 
-def prose(text: str) -> tuple[list[str], int, int, str] | None:
-    """Words in lower case, sentences, clause marks and language of a text's prose; None if it has none.
+def prose(text: str) -> tuple[list[str], list[int], int, str] | None:
+    """Words in lower case, words of each sentence, clause marks and language of a text's prose; None if it has none.
 
     A paragraph is prose if at least a tenth of its words are function words of the text's language
     and most of its characters are letters or spaces, so tables, letter strings and lists of
@@ -64,23 +68,24 @@ def prose(text: str) -> tuple[list[str], int, int, str] | None:
     parts = []
     votes = dict.fromkeys(LANGS, 0)
     for p in _PARAGRAPH.split(text):
-        w = _WORD.findall(p.lower())
+        each = [_WORD.findall(x) for x in _SENTENCE.split(p.lower())]
+        w = [x for e in each for x in e]
         if len(w) < 4:
             continue
         n = Counter(w)
         hits = {g: sum(n[x] for x in n.keys() & _sets[g].keys()) for g in LANGS}
-        parts.append((p, w, hits))
+        parts.append((p, w, hits, [len(e) for e in each if e]))
         for g in LANGS:
             votes[g] += hits[g]
     if not parts:
         return None
     lang = max(LANGS, key=votes.get)
-    words, sentences, clauses = [], 0, 0
-    for p, w, hits in parts:
+    words, sentences, clauses = [], [], 0
+    for p, w, hits, lengths in parts:
         if hits[lang] * 10 < len(w) or sum(map(len, w)) < 0.6 * len(p.replace(" ", "")):
             continue
         words += w
-        sentences += max(1, len(_SENTENCE.findall(p)))
+        sentences += lengths
         clauses += len(_CLAUSE.findall(p))
     return (words, sentences, clauses, lang) if words else None
 
@@ -101,6 +106,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return spread(docs.where("text is not null").select("text")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _of_sentences(size: np.ndarray, length: np.ndarray) -> tuple[float, ...]:
+    """Lengths, longest words and mean word lengths of sentences of three words and more."""
+    start = np.cumsum(length) - length
+    longest, mean = np.maximum.reduceat(size, start), np.add.reduceat(size, start) / length
+    full = length >= 3
+    if full.any():
+        length, longest, mean = length[full], longest[full], mean[full]
+    return (
+        float(np.median(length)), (length >= 14).mean(), (length >= 24).mean(), float(np.median(longest)), (longest >= 13).mean(), (longest >= 9).mean(),
+        float(np.median(mean)), (mean >= 5.5).mean(), (mean >= 6.5).mean(), (mean < 4.3).mean(),
+    )
+
+
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, words, lang and FEATURES of documents with at least FEWEST_WORDS words of prose."""
     counts = word_counts(docs.select("text")).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
@@ -124,9 +142,10 @@ def features(docs: DataFrame) -> DataFrame:
                     size = np.fromiter(map(len, w), np.int32, k)
                     r = np.fromiter((rare.get(x, unseen) for x in w), np.float64, k)
                     c = Counter(w)
+                    n_s = len(sentences)
                     rows.append((
-                        size.mean(), (size >= 7).mean(), (size >= 12).mean(), np.log(k / sentences), clauses / sentences, np.log(len(c)) / np.log(k),
-                        r.mean(), (r > 9).mean(), sum(c[x] for x in c.keys() & link[lang]) / k, clauses / k, sum(c[x] for x in c.keys() & _sets[lang].keys()) / k, (size <= 4).mean(),
+                        size.mean(), (size >= 7).mean(), (size >= 12).mean(), np.log(k / n_s), clauses / n_s, np.log(len(c)) / np.log(k),
+                        r.mean(), (r > 9).mean(), sum(c[x] for x in c.keys() & link[lang]) / k, clauses / k, sum(c[x] for x in c.keys() & _sets[lang].keys()) / k, (size <= 4).mean(), *_of_sentences(size, np.array(sentences)),
                     ))
                     keep.append(i)
                     n.append(k)
