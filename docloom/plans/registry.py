@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.plans import base, cost, graph, linkage, pages, search, store, streams, tags, text  # noqa: F401 - registers
+from docloom.plans import base, cost, graph, jobs, linkage, pages, search, store, streams, tags, text  # noqa: F401 - registers
 
 
 def queries() -> dict[str, base.Query]:
