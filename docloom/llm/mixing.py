@@ -8,6 +8,7 @@ repeat. Slots and blocks meet in an equi-join on (source, block).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -68,6 +69,8 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = 16, total_token
         if end is not None:
             slots = slots.where(F.col("slot") < end)
     spans = _spans(sized, names, {s: x[0] for s, x in have.items()}, block_tokens, seed)
+    # Only blocks that the schedule names are cut: their number follows the mixture, not the corpus.
+    spans = spans(slots.groupBy("source").agg((F.max("block") + 1).alias("named")))
     blocks = slots.join(spans, ["source", "block"]).select("slot", "source", "doc_id", "repeat", "token_from", "token_to")
     shares = _shares(spark, blocks, rows, {r.source: r.weight / weight for r in present}, have)
     return Mixture(blocks, shares)
@@ -84,8 +87,8 @@ def _slots(spark, n: int, sources: list[str], edges: list[int]) -> DataFrame:
     return slots.withColumn("r", rank).join(before.drop("count"), ["source", "run"]).select("slot", "source", (F.col("before") + F.col("r")).alias("block"))
 
 
-def _spans(sized: DataFrame, names: DataFrame, have: dict[str, int], size: int, seed: int) -> DataFrame:
-    """(source, block, doc_id, repeat, token_from, token_to): shuffled documents cut at every size tokens.
+def _spans(sized: DataFrame, names: DataFrame, have: dict[str, int], size: int, seed: int) -> Callable[[DataFrame], DataFrame]:
+    """A function from (source, named blocks) to (source, block, doc_id, repeat, token_from, token_to): shuffled documents cut at every size tokens.
 
     The running total is taken in two levels, as one source may hold a third of all rows: documents
     fall into runs by a hash, so many that a run holds about TOKEN_RUN tokens, totals of runs are
@@ -99,7 +102,17 @@ def _spans(sized: DataFrame, names: DataFrame, have: dict[str, int], size: int,
     inner = Window.partitionBy("source", "repeat", "run").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     laid = mixed.withColumn("upto", F.sum("n_tokens").over(inner)).join(totals, ["source", "repeat", "run"])
     laid = laid.withColumn("b", F.col("base") + F.col("upto")).withColumn("a", F.col("b") - F.col("n_tokens"))
-    laid = laid.withColumn("block", F.explode(F.sequence((F.col("a") / size).cast("long"), ((F.col("b") - 1) / size).cast("long"))))
+
+    def cut_for(named: DataFrame) -> DataFrame:
+        last = F.least(F.col("b") - 1, F.col("named") * size - 1)
+        met = laid.join(F.broadcast(named), "source").where(F.col("a") < F.col("named") * size)
+        met = met.withColumn("block", F.explode(F.sequence((F.col("a") / size).cast("long"), (last / size).cast("long"))))
+        return _span_columns(met, size)
+
+    return cut_for
+
+
+def _span_columns(laid: DataFrame, size: int) -> DataFrame:
     return laid.select("source", "block", "doc_id", "repeat", (F.greatest(F.col("a"), F.col("block") * size) - F.col("a")).alias("token_from"), (F.least(F.col("b"), (F.col("block") + 1) * size) - F.col("a")).alias("token_to"))
 
 
