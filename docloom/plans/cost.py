@@ -18,7 +18,7 @@ def timings_blend(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _COST_SQL = (
-    "SELECT doc_id, round(CASE kind WHEN 'pdf' THEN 0.44 * p + 0.3 WHEN 'scan' THEN 2.8 WHEN 'office' THEN 0.4 * p1 + 6.0 WHEN 'html' THEN 6.3 WHEN 'text' THEN 0.1 WHEN 'markdown' THEN 0.1 ELSE 0.0 END, 1) AS seconds, "
+    "SELECT doc_id, round(CASE kind WHEN 'pdf' THEN 0.44::DOUBLE * p + 0.3::DOUBLE WHEN 'scan' THEN 2.8 WHEN 'office' THEN 0.4::DOUBLE * p1 + 6.0 WHEN 'html' THEN 6.3 WHEN 'text' THEN 0.1 WHEN 'markdown' THEN 0.1 ELSE 0.0 END, 1) AS seconds, "
     "CAST(CASE kind WHEN 'pdf' THEN 700 WHEN 'scan' THEN 300 WHEN 'office' THEN 900 WHEN 'html' THEN 900 WHEN 'text' THEN 50 WHEN 'markdown' THEN 50 ELSE 0 END AS DOUBLE) AS peak_mb, "
     "CAST(CASE kind WHEN 'pdf' THEN p WHEN 'scan' THEN 1 WHEN 'office' THEN p1 WHEN 'html' THEN 1 WHEN 'text' THEN 1 WHEN 'markdown' THEN 1 ELSE 0 END AS INTEGER) AS units "
     "FROM (SELECT doc_id, kind, CASE WHEN coalesce(pages, 0) > 0 THEN pages ELSE greatest(1, CAST(floor(coalesce(n_chars, 0) * 40 / 60000) AS INTEGER)) END AS p, greatest(1, coalesce(pages, 1)) AS p1 FROM documents)"
