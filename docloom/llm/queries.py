@@ -92,5 +92,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
+#: What str.strip() takes away, as DuckDB spells it.
+_SPACE = " || ".join(f"chr({ord(c)})" for c in splitting.SPACE)
+_FINE = "vec IS NOT NULL AND model IS NOT NULL AND len(vec) = dim AND len(list_filter(vec, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that have an exact one: oversized chunks, and nearest vectors by brute force."""
+    return {
+        "p2_found": f"SELECT DISTINCT doc_id, idx FROM chunks WHERE length(trim(text, {_SPACE})) > 2200",
+        "p4_found": (
+            f"WITH v AS (SELECT DISTINCT vec_id, model, dim, CAST(vec AS DOUBLE[]) AS x FROM vectors WHERE {_FINE}), p AS (SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.x, b.x), 10) DESC, b.vec_id) AS r "
+            "FROM v a JOIN v b ON a.model = b.model AND a.dim = b.dim AND a.vec_id <> b.vec_id) SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM p WHERE r <= 5"
+        ),
+    }
