@@ -8,13 +8,13 @@ odds model with a quadratic penalty is fitted to raters' marks, each mark an obs
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +41,28 @@ FREQUENT = 30_000
 MARKS = 50_000
 FEWEST_WORDS = 40
 
-_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-_PARAGRAPH = regex.compile(r"\n[ \t]*\n|\f")
-_SENTENCE = regex.compile(r"[.!?…]+(?=[\s\"'”»)\]]|$)")
-_CLAUSE = regex.compile(r"[,;:(–—]")
-_BREAK = regex.compile(r"(?<=\p{L})[-‐¬­][ \t]*\n[ \t]*(?=\p{Ll})")
-_HEADING = regex.compile(r"(?mi)^\s*(?:\[\d+\].*|\d+\.\s.*\b(?:19|20)\d\d.*|#+ .*|references|literatur|références|referencias|bibliograph\w*)\s*$")
-_sets = {g: {w: 0 for w in FUNCTION[g].split()} for g in LANGS}
+_WORD = re.compile(r"[^\W\d_]+")
+_PARAGRAPH = re.compile(r"\n[ \t]*\n|\f")
+_SENTENCE = re.compile(r"[.!?…]+(?=[\s\"'”»)\]]|$)")
+_CLAUSE = re.compile(r"[,;:(–—]")
+_BREAK = re.compile(r"(?<=[^\W\d_])[-‐¬­][ \t]*\n[ \t]*(?=[^\W\d_A-Z])")
+_HEADING = re.compile(r"(?mi)^\s*(?:\[\d+\].*|\d+\.\s.*\b(?:19|20)\d\d.*|#+ .*|references|literatur|références|referencias|bibliograph\w*)\s*$")
+_sets = {g: frozenset(FUNCTION[g].split()) for g in LANGS}
+
+
+class _Default(dict):
+    """A dict whose lookup of a missing key gives `other`; mapping it over words runs in C."""
+
+    def __init__(self, known: dict, other: float) -> None:
+        super().__init__(known)
+        self.other = other
+
+    def __missing__(self, key: object) -> float:
+        return self.other
+
+
+#: The languages of which a word is a function word, as bits.
+_BITS = _Default({w: sum(1 << i for i, g in enumerate(LANGS) if w in _sets[g]) for g in LANGS for w in _sets[g]}, 0)
 FEATURES = (
     "word_length", "long_words", "very_long_words", "sentence_length", "clause_depth", "diversity", "rarity", "rare_words", "connectives", "clause_marks", "function_words", "short_words",
     # Of the sentences, which tell more than means where easy and hard ones mix:
@@ -72,8 +87,8 @@ def prose(text: str) -> tuple[list[str], list[int], int, str] | None:
         w = [x for e in each for x in e]
         if len(w) < 4:
             continue
-        n = Counter(w)
-        hits = {g: sum(n[x] for x in n.keys() & _sets[g].keys()) for g in LANGS}
+        bits = Counter(map(_BITS.__getitem__, w))
+        hits = {g: sum(n for b, n in bits.items() if b >> i & 1) for i, g in enumerate(LANGS)}
         parts.append((p, w, hits, [len(e) for e in each if e]))
         for g in LANGS:
             votes[g] += hits[g]
@@ -127,7 +142,7 @@ def features(docs: DataFrame) -> DataFrame:
     unseen = float(np.log(total)) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = held.value
+        rare = _Default(held.value, unseen).__getitem__
         link = {g: set(CONNECTIVE[g].split()) for g in LANGS}
         for b in batches:
             for at in range(0, b.num_rows, 1000):
@@ -140,12 +155,12 @@ def features(docs: DataFrame) -> DataFrame:
                     w, sentences, clauses, lang = got
                     k = len(w)
                     size = np.fromiter(map(len, w), np.int32, k)
-                    r = np.fromiter((rare.get(x, unseen) for x in w), np.float64, k)
+                    r = np.fromiter(map(rare, w), np.float64, k)
                     c = Counter(w)
                     n_s = len(sentences)
                     rows.append((
                         size.mean(), (size >= 7).mean(), (size >= 12).mean(), np.log(k / n_s), clauses / n_s, np.log(len(c)) / np.log(k),
-                        r.mean(), (r > 9).mean(), sum(c[x] for x in c.keys() & link[lang]) / k, clauses / k, sum(c[x] for x in c.keys() & _sets[lang].keys()) / k, (size <= 4).mean(), *_of_sentences(size, np.array(sentences)),
+                        r.mean(), (r > 9).mean(), sum(c[x] for x in c.keys() & link[lang]) / k, clauses / k, sum(c[x] for x in c.keys() & _sets[lang]) / k, (size <= 4).mean(), *_of_sentences(size, np.array(sentences)),
                     ))
                     keep.append(i)
                     n.append(k)
