@@ -148,6 +148,20 @@ def split_references(section: str) -> list[str]:
     return [g for g in tidy if len(g) >= 20]
 
 
+def candidate_pairs(refs: DataFrame, works: DataFrame) -> DataFrame:
+    """Pairs of one author and year (one apart at most) in which the citation has the title's longest word.
+
+    Author and year alone would pair all of a prolific author's works with all their citations; the
+    longest word keeps a block small however many rows an author has.
+    """
+    words = F.array_distinct(F.filter(matches(F.lower(F.coalesce("raw", F.lit(""))), r"[\p{L}\p{N}]+"), lambda w: F.length(w) > 3))
+    said = refs.select("ref_id", F.lower("first_author").alias("a"), F.col("ref_year").alias("y"), F.explode(words).alias("w"))
+    longest = F.array_max(F.transform(matches(F.lower(clean_title(F.col("title"))), r"[\p{L}\p{N}]+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = works.select("work_id", F.lower("family").alias("a"), longest.alias("w"), F.explode(F.sequence(F.col("year") - 1, F.col("year") + 1)).alias("y"))
+    met = said.join(keyed, ["a", "y", "w"]).select("ref_id", "work_id").distinct()
+    return met.join(refs, "ref_id").join(works, "work_id").select("ref_id", "raw", "first_author", "ref_year", "work_id", "title", "year", "family")
+
+
 def best_candidate(pairs: DataFrame, key: str) -> DataFrame:
     """key, work_id, confidence: of candidate pairs (raw, title, ref_year, year, first_author, family) the best.
 

@@ -68,8 +68,10 @@ def register(new: DataFrame, known: DataFrame) -> DataFrame:
 
 def import_counters(rows: DataFrame, by: str) -> DataFrame:
     """total, imported, skipped (content seen before in id order) and errors (no text) by batch."""
-    w = Window.partitionBy(F.coalesce(F.lower("sha256"), F.col("doc_id").cast("string")))
-    marked = rows.withColumn("first", F.min("doc_id").over(w) == F.col("doc_id")).withColumn("bad", F.col("text").isNull())
+    same = F.coalesce(F.lower("sha256"), F.concat(F.lit("#"), F.col("doc_id").cast("string")))
+    slim = rows.select(by, "doc_id", same.alias("same"), F.col("text").isNull().alias("bad"))
+    first = slim.groupBy("same").agg(F.min("doc_id").alias("f"))  # reduced before the shuffle, unlike a window
+    marked = slim.join(first, "same").withColumn("first", F.col("f") == F.col("doc_id"))
     return marked.groupBy(by).agg(F.count("*").alias("total"), F.count_if(~F.col("bad") & F.col("first")).alias("imported"), F.count_if(~F.col("bad") & ~F.col("first")).alias("skipped"), F.count_if("bad").alias("errors"))
 
 

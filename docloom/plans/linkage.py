@@ -114,8 +114,7 @@ def reference_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """References with their best work among those of the same first author and year, by fuzzy title."""
     refs = table(spark, folder, "refs").select("ref_id", "raw", "first_author", F.col("year").alias("ref_year")).where("first_author <> '' and ref_year is not null")
     works = table(spark, folder, "works").select("work_id", "title", "year", F.try_element_at("authors", F.lit(1))["family"].alias("family"))
-    near = works.withColumn("ref_year", F.explode(F.sequence(F.col("year") - 1, F.col("year") + 1)))
-    pairs = refs.join(near, (F.lower(refs.first_author) == F.lower(near.family)) & (refs.ref_year == near.ref_year)).select("ref_id", "raw", "first_author", refs.ref_year, "work_id", "title", "year", "family")
+    pairs = linkage.candidate_pairs(refs, works)
     return linkage.best_candidate(pairs, "ref_id")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,17 +24,39 @@ def accept(times: list[float], held: list[float], limit: int, window: float) ->
     return out, held
 
 
+def fold_by_key(rows: DataFrame, key: str, order: str, shape: str, start: Callable[[], object], step: Callable) -> DataFrame:
+    """Rows (key, order, t, ...) folded key by key in time order, batch by batch.
+
+    The rows of a key pass through one task in order but are never held together: a batch of them and
+    the state are in memory, so a key with a third of all rows costs time there and no memory.
+    step(frame of one key, state) gives (frame out, state).
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            k = pdf[key].to_numpy()
+            cuts = [0, *(i for i in range(1, len(k)) if k[i] != k[i - 1]), len(k)]
+            for i, j in zip(cuts, cuts[1:]):
+                if now is None or k[i] != now[0]:
+                    now, state = (k[i],), start()
+                out, state = step(pdf.iloc[i:j], state)
+                yield out
+
+    return rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, "t", order).mapInPandas(run, shape)
+
+
 def rate_limited(events: DataFrame, key: str, stamp: str, limit: int, window: float, order: str = "event_id") -> DataFrame:
-    """Batch form: the events with `accepted`, one key's events in one task, only key and time travelling."""
+    """Batch form: the events with `accepted`; events with a null key are left out."""
     shape = f"{order} bigint, {key} {events.schema[key].dataType.simpleString()}, accepted boolean"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", order])
-        ok, _ = accept(pdf["t"].tolist(), [], limit, window)
-        return pd.DataFrame({order: pdf[order], key: pdf[key], "accepted": ok})
+    def step(pdf: pd.DataFrame, held: list[float]) -> tuple[pd.DataFrame, list[float]]:
+        ok, held = accept(pdf["t"].tolist(), held, limit, window)
+        return pd.DataFrame({order: pdf[order], key: pdf[key], "accepted": ok}), held
 
-    rows = events.select(order, key, F.unix_micros(F.col(stamp).cast("timestamp")).cast("double").alias("t")).withColumn("t", F.col("t") / 1e6)
-    return rows.groupBy(key).applyInPandas(run, shape)
+    rows = events.select(order, key, (F.unix_micros(F.col(stamp).cast("timestamp")) / 1e6).alias("t"))
+    return fold_by_key(rows, key, order, shape, list, step)
 
 
 def rate_limited_stream(events: DataFrame, key: str, stamp: str, limit: int, window: float, order: str = "event_id") -> DataFrame:
@@ -84,13 +106,12 @@ def throttled(events: DataFrame, key: str, stamp: str, final: str, gap: float, o
     """Batch form of throttled_stream."""
     shape = f"{order} bigint, {key} {events.schema[key].dataType.simpleString()}, status string"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", order])
-        told, status, _, _ = throttle(pdf["t"].tolist(), pdf["final"].tolist(), float("-inf"), False, gap)
-        return pd.DataFrame({order: pdf[order], key: pdf[key], "status": status})[told]
+    def step(pdf: pd.DataFrame, state: tuple[float, bool]) -> tuple[pd.DataFrame, tuple[float, bool]]:
+        told, status, last, finished = throttle(pdf["t"].tolist(), pdf["final"].tolist(), *state, gap)
+        return pd.DataFrame({order: pdf[order], key: pdf[key], "status": status})[told], (last, finished)
 
     rows = events.select(order, key, (F.unix_micros(F.col(stamp).cast("timestamp")) / 1e6).alias("t"), F.expr(final).alias("final"))
-    return rows.groupBy(key).applyInPandas(run, shape)
+    return fold_by_key(rows, key, order, shape, lambda: (float("-inf"), False), step)
 
 
 def settled(seen: list[tuple[str, int, float]], state: dict[str, tuple[int, float]], quiet: float = 2.0) -> list[str]:

@@ -70,3 +70,27 @@ def test_upserts_take_a_batch_again(spark):
     assert sorted((r.feed_id, r.entry_id) for r in u.table().collect()) == [(1, 4), (2, 9)]
     u2 = runs.Upserts(spark, a.schema, ["feed_id", "guid"], "entry_id")
     assert u2.table().count() == 0
+
+
+def test_folds_run_over_batches(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(3) if i % 50 else None, float(rng.randrange(2000))) for i in range(500)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id int, s double")
+    df = df.withColumn("ts", df.s.cast("timestamp"))
+    whole = rows_of(state.rate_limited(df, "user_id", "ts", 4, 60.0))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert rows_of(state.rate_limited(df, "user_id", "ts", 4, 60.0)) == whole
+        assert rows_of(state.throttled(df, "user_id", "ts", "event_id % 40 = 39", 30.0))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for u in range(3):
+        mine = sorted((s, i) for i, k, s in rows if k == u)
+        want += [(ok, i, u) for ok, (_, i) in zip(state.accept([s for s, _ in mine], [], 4, 60.0)[0], mine)]
+    assert whole == sorted(want)
+    assert state.rate_limited(df.limit(0), "user_id", "ts", 4, 60.0).count() == 0
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.select(sorted(df.columns)).collect())
