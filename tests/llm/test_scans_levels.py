@@ -135,3 +135,13 @@ def test_ordinal_fit_recovers_order():
     m = levels.fit(x, k)
     assert m.weight[0] == pytest.approx(2, abs=0.3) and m.weight[1] == pytest.approx(-1, abs=0.3) and np.all(np.diff(m.bound) > 0)
     assert np.allclose(m.probabilities(x).sum(1), 1)
+
+
+def test_long_documents_are_read_in_blocks(spark, scanned, monkeypatch):
+    docs, chunks, want = scanned
+    monkeypatch.setattr(scans, "BLOCK", 2)
+    rows = scans.read_pages(chunks, spark.createDataFrame([], OCR), docs).collect()
+    assert len(rows) == 36 and len({(r.doc_id, r.page) for r in rows}) == 36
+    got = {(r.doc_id, r.page, m.line_no, m.kind) for r in rows for m in r.marks}
+    hyphens = {x for x in want if x[3] == "hyphen"}
+    assert len(hyphens & got) / len(hyphens) >= 0.95
