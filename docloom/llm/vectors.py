@@ -168,7 +168,9 @@ def neighbours(vectors: DataFrame, k: int = 5, trees: int = 6, probes: int = 12,
     others = others.join(heads.withColumnRenamed("rep", "other"), "other", "left").select("rep", "c", F.explode(F.coalesce("heads", F.array("other"))).alias("id"))
     own = heads.select("rep", F.lit(1.0).alias("c"), F.explode("heads").alias("id"))
     lists = others.unionByName(own).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", (-F.col("id")).alias("m"))), asc=False).alias("near"))
-    asking = lists.join(members, "rep", "left").withColumn("vec_id", F.coalesce("vec_id", "rep"))
+    # Inner joins only, of which either side can be split where one class has very many members.
+    alone = lists.join(heads.select("rep"), "rep", "left_anti").withColumn("vec_id", F.col("rep"))
+    asking = lists.join(members, "rep").select("rep", "near", "vec_id").unionByName(alone.select("rep", "near", "vec_id"))
     kept = F.slice(F.filter("near", lambda x: x.m != -F.col("vec_id")), 1, k)
     return asking.select("vec_id", F.explode(kept).alias("x")).select("vec_id", (-F.col("x.m")).alias("other_id"), F.col("x.c").alias("cosine"))
 
