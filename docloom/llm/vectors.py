@@ -159,7 +159,7 @@ def neighbours(vectors: DataFrame, k: int = 5, trees: int = 6, probes: int = 12,
     spark = vectors.sparkSession
     rows = valid(vectors).withColumn("h1", F.xxhash64(F.lit(1), "vec")).withColumn("h2", F.xxhash64(F.lit(2), "vec"))
     classes = cut(rows.groupBy("model", "dim", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.first("vec").alias("vec"), F.count("*").alias("n")), "classes")
-    nearest = _nearest(classes, k, trees, probes, leaf, seed)
+    nearest = cut(_nearest(classes, k, trees, probes, leaf, seed), "nearest")  # used twice below
     many = classes.where("n > 1").select("model", "dim", "h1", "h2", "rep")
     members = rows.select("vec_id", "model", "dim", "h1", "h2").join(many, ["model", "dim", "h1", "h2"]).select("vec_id", "rep").distinct()
     first = Window.partitionBy("rep").orderBy("vec_id")
