@@ -39,6 +39,9 @@ _RULES = [(a, b) for a, bs in GLYPHS.items() for b in (bs.split() or [""])]
 WORDS, VECTORS, CONTEXTS, DIM, WINDOW = 80_000, 3_000, 300, 32, 3
 #: Pages of a document that are read together.
 BLOCK = 256
+#: Words of text to which all thresholds on counts refer: in a larger corpus counts are taken down to it,
+#: so that a threshold is a share; in a smaller one it stays the least number that is evidence.
+CORPUS = 2_500_000
 #: A word this frequent is taken as read rightly; a neighbour must be so many times as frequent.
 SURE, TIMES = 400, 12
 
@@ -128,7 +131,7 @@ def learn_vectors(n: np.ndarray, negative: float = 5.0, rounds: int = 60, seed:
 
 @dataclass
 class Model:
-    count: dict[str, int]
+    count: dict[str, float]  # to CORPUS words
     index: dict[str, int]
     word: np.ndarray
     context: np.ndarray
@@ -229,7 +232,7 @@ class Reader:
             for l in p.lines:
                 self.own.update(_line_words(l.lower(), False, True))
 
-    def count(self, w: str) -> int:
+    def count(self, w: str) -> float:
         n = self.m.count.get(w, 0)
         return n if n else min(2, self.own.get(w, 0))
 
@@ -254,7 +257,7 @@ class Reader:
             found = [x for x in self.own if abs(len(x) - len(w)) < 2 and pattern.fullmatch(x)]
         else:
             found = self.neighbours(w)
-            if n == 0 and len(w) > 6:  # two misread glyphs in a long word that nobody knows
+            if n < 2 and len(w) > 6:  # two misread glyphs in a long word that nobody knows
                 known = self.m.count
                 found += [y for x in found for y in self.neighbours(x) if known.get(y, 0) >= 30] if not any(known.get(x, 0) >= TIMES for x in found) else []
         for x in found:
@@ -476,8 +479,10 @@ def scanned_pages(chunks: DataFrame, ocr: DataFrame, docs: DataFrame) -> DataFra
 
 def learn(pages: DataFrame, docs: DataFrame) -> Model:
     """Word counts of all documents, vectors of the scanned pages, and line templates that stand at page edges."""
-    words = word_counts(docs).where("n >= 2").orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    count = {r.word: r.n for r in words}
+    counts = cut(word_counts(docs), "words")
+    rate = min(1.0, CORPUS / max(1, counts.agg(F.sum("n")).first()[0] or 0))
+    words = counts.where("n >= 2").orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    count = {r.word: r.n * rate for r in words}
     index = {r.word: i for i, r in enumerate(words[:VECTORS])}
     grams = np.zeros((VECTORS, CONTEXTS))
     for r in skipgrams(pages, index).collect():  # at most VECTORS x CONTEXTS
@@ -495,7 +500,7 @@ def learn(pages: DataFrame, docs: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.int32()), pa.array(list(n.values()), pa.int64())], names=["t", "edge", "n"])
 
     s = pages.select("lines").mapInArrow(shapes, "t string, edge int, n bigint").groupBy("t").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("edge")).alias("e"))
-    fixed = s.where((F.col("e") >= 6) & (F.col("e") >= 0.95 * F.col("n")) & F.col("t").contains("#") & F.col("t").rlike(r"[^# ]")).orderBy(F.desc("n"), "t").limit(20_000)
+    fixed = s.where((F.col("e") * rate >= 6) & (F.col("e") >= 0.95 * F.col("n")) & F.col("t").contains("#") & F.col("t").rlike(r"[^# ]")).orderBy(F.desc("n"), "t").limit(20_000)
     edges = [r.t for r in fixed.collect()]
     bare = {re.sub(r"[# ]", "", t) for t in edges[:500]}
     return Model(count, index, word, context, set(edges), {x for k in bare if len(k) > 7 for x in (k, *(k[:i] + k[i + 1 :] for i in range(len(k))))})

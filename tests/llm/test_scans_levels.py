@@ -65,6 +65,23 @@ def test_planted_faults(spark, scanned):
     assert "copacity" not in text and "neuropafhy" not in text and "—" not in text and "- " not in text
 
 
+def test_marks_do_not_depend_on_the_size_of_the_corpus(spark, scanned, monkeypatch):
+    docs, chunks, _ = scanned
+    plain = spark.createDataFrame([(1000 + i, "text", None, "from " * 40 + ("frorn " if i % 2 else "")) for i in range(500)], docs.schema)
+    docs = docs.unionByName(plain)
+    monkeypatch.setattr(scans, "CORPUS", 60_000, raising=False)  # the tables hold more
+
+    def marks(d, c):
+        return {(r.doc_id, r.page, m.line_no, m.kind) for r in scans.read_pages(c, spark.createDataFrame([], OCR), d).collect() if r.doc_id < 10_000 for m in r.marks}
+
+    def twice(t):
+        return t.unionByName(t.withColumn("doc_id", F.col("doc_id") + 10_000))
+
+    once = marks(docs, chunks)
+    wrong = {(r.doc_id, r.page, i, "misread") for r in chunks.collect() for i, line in enumerate(r.text.split("\n")) if "frorn" in line}
+    assert wrong and wrong <= once and marks(twice(docs), twice(chunks)) == once
+
+
 def test_nothing_scanned(spark, scanned):
     docs, chunks, _ = scanned
     assert scans.read_pages(chunks.limit(0), spark.createDataFrame([], OCR), docs).count() == 0
