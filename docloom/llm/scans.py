@@ -14,7 +14,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -35,13 +35,14 @@ GLYPHS = {
     "ü": "ii u", "ö": "o", "ä": "a", "ó": "o", "á": "a", "ú": "u", "ñ": "n", "ß": "b", "iu": "m", "ui": "m", "]": "l", "|": "l", "!": "l", "'": "", "ı": "i",
 }
 _RULES = [(a, b) for a, bs in GLYPHS.items() for b in (bs.split() or [""])]
-#: Words broadcast with their counts, those with vectors, and the contexts these are learned on.
-WORDS, VECTORS, CONTEXTS, DIM, WINDOW = 80_000, 3_000, 300, 32, 3
+#: Counts (to CORPUS words) from which a word is broadcast and has a vector; shares bound both. The counts
+#: of rarer words reach the pages that ask for them by a join. Contexts that vectors are learned on.
+KNOWN, PLACED, CONTEXTS, DIM, WINDOW = 2, 8, 300, 32, 3
 #: Pages of a document that are read together.
 BLOCK = 256
 #: Words of text to which all thresholds on counts refer: in a larger corpus counts are taken down to it,
 #: so that a threshold is a share; in a smaller one it stays the least number that is evidence.
-CORPUS = 2_500_000
+CORPUS = 2_600_000
 #: A word this frequent is taken as read rightly; a neighbour must be so many times as frequent.
 SURE, TIMES = 400, 12
 
@@ -95,7 +96,7 @@ def skipgrams(pages: DataFrame, index: dict[str, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = held.value
-        total = np.zeros(VECTORS * CONTEXTS, np.int64)
+        total = np.zeros(len(ids) * CONTEXTS, np.int64)
         for b in batches:
             for lines in b.column(0).to_pylist():
                 x = np.array([ids.get(w, -1) for w in _WORD.findall(" ".join(l or "" for l in lines or []).lower())], np.int64)
@@ -137,6 +138,7 @@ class Model:
     context: np.ndarray
     edges: set[str]
     slips: set[str] = field(default_factory=set)
+    one: float = 1.0  # what one word of the text counts
 
     def edge(self, t: str) -> bool:
         """Is the template one that stands at page edges, a slip or a lost space apart?"""
@@ -257,7 +259,7 @@ class Reader:
             found = [x for x in self.own if abs(len(x) - len(w)) < 2 and pattern.fullmatch(x)]
         else:
             found = self.neighbours(w)
-            if n < 2 and len(w) > 6:  # two misread glyphs in a long word that nobody knows
+            if n < KNOWN and len(w) > 6:  # two misread glyphs in a long word that nobody knows
                 known = self.m.count
                 found += [y for x in found for y in self.neighbours(x) if known.get(y, 0) >= 30] if not any(known.get(x, 0) >= TIMES for x in found) else []
         for x in found:
@@ -267,7 +269,7 @@ class Reader:
             if not strong or len(x) < 2:
                 continue
             fit = self.m.fit_in(x, around)
-            if n >= 8 and k < 60 * n and fit <= self.m.fit_in(w, around):
+            if n >= PLACED and k < 60 * n and fit <= self.m.fit_in(w, around):
                 continue  # w is a word of its own, and x fits no better here
             s = np.log(k + 3 * here + 1) + fit
             if s > score:
@@ -299,7 +301,7 @@ class Reader:
             s = np.log(ka + 2) + np.log(kb + 2)
             if s > score:
                 best, score = f"{a} {b}", s
-        return best if best and n * 50 < np.exp(score / 2) else None
+        return best if best and (n < KNOWN or n * 50 < np.exp(score / 2)) else None
 
 
 _SINGLE = {"a", "e", "i", "o", "y", "à"}
@@ -354,9 +356,9 @@ def _word(reader: Reader, cores: list[str], low: list[str], k: int, around: list
     w, core, count = low[k], cores[k], reader.m.count
     if k + 1 < len(low) and low[k + 1] and raw[-1:] not in ".,;:)]":
         whole = w + low[k + 1]
-        n = count.get(whole, 0) or (3 if reader.own.get(whole, 0) >= 2 and len(whole) > 4 else 0)
+        n = max(count.get(whole, 0), 3 if reader.own.get(whole, 0) >= 2 and len(whole) > 4 else 0)
         least = min(count.get(w, 0), count.get(low[k + 1], 0))
-        if n >= 3 and n > 6 * least and whole.isalnum() and not whole.isdigit() and len(whole) > 3:
+        if (n >= 3 * max(least, reader.m.one) if least < KNOWN else n > 6 * least) and whole.isalnum() and not whole.isdigit() and len(whole) > 3:
             return whole  # the next word goes with it; reflow() drops the space
     if k and low[k - 1] and count.get(low[k - 1] + w, 0) > 6 * max(3, count.get(w, 0)) and (low[k - 1] + w).isalpha() and min(count.get(w, 0), count.get(low[k - 1], 0)) * 6 < count.get(low[k - 1] + w, 0) and len(w) < 4:
         return None  # already told at the word before
@@ -469,6 +471,23 @@ def read_document(pages: list[tuple[tuple, list[str]]], title: str | None, model
     return made, reflow(made)
 
 
+def rare_words(lines: list[str], known: dict[str, float]) -> list[str]:
+    """The words beyond the known ones whose counts may be asked for: those of the lines, two that adjoin, and cut ones made whole."""
+    out: set[str] = set()
+    lines = [l for l in lines if l.strip()]
+    low = [[lower(m.group()) if (m := _CORE.search(x)) else "" for x in l.split()] for l in lines]
+    for i, (line, words) in enumerate(zip(lines, low)):
+        out.update(_with_parts(_WORD.findall(line.lower())), words, (x for w in words if "-" in w for x in w.split("-")))
+        out.update(a + b for a, b in zip(words, words[1:]) if a not in known or b not in known)
+        if line.rstrip()[-1:] in HYPHENS:
+            for a in words[-2:]:
+                head = re.split(r"[-‐]", a)[-1]
+                for b in (x[0] for x in low[i + 1 : i + 6]):  # furniture may stand between
+                    tail = re.split(r"[-‐]", b)[0]
+                    out.update((head + tail, f"{head}-{tail}", f"{a}-{b}"))
+    return sorted(w for w in out if w and w not in known)
+
+
 def scanned_pages(chunks: DataFrame, ocr: DataFrame, docs: DataFrame) -> DataFrame:
     """tbl, doc_id, page, at (order), lines of the pages of documents of kind scan; repeated deliveries once."""
     scans = docs.where("kind = 'scan' and doc_id is not null").select("doc_id").distinct()
@@ -477,16 +496,17 @@ def scanned_pages(chunks: DataFrame, ocr: DataFrame, docs: DataFrame) -> DataFra
     return a.unionByName(b)
 
 
-def learn(pages: DataFrame, docs: DataFrame) -> Model:
-    """Word counts of all documents, vectors of the scanned pages, and line templates that stand at page edges."""
+def learn(pages: DataFrame, docs: DataFrame) -> tuple[Model, DataFrame]:
+    """Counts of all documents' frequent words, vectors of the scanned pages, line templates that stand at page edges; word, n of the rare words."""
     counts = cut(word_counts(docs), "words")
     rate = min(1.0, CORPUS / max(1, counts.agg(F.sum("n")).first()[0] or 0))
-    words = counts.where("n >= 2").orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    count = {r.word: r.n * rate for r in words}
-    index = {r.word: i for i, r in enumerate(words[:VECTORS])}
-    grams = np.zeros((VECTORS, CONTEXTS))
-    for r in skipgrams(pages, index).collect():  # at most VECTORS x CONTEXTS
-        grams[r.w, r.c] = r.n
+    counts = counts.withColumn("n", F.col("n") * rate)
+    words = counts.where(F.col("n") >= KNOWN).orderBy(F.desc("n"), "word").collect()
+    count = {r.word: r.n for r in words}
+    index = {r.word: i for i, r in enumerate(words) if r.n >= PLACED}
+    grams = np.zeros((len(index), CONTEXTS))
+    found = skipgrams(pages, index).toArrow()  # at most index x CONTEXTS
+    grams[found["w"].to_numpy(), found["c"].to_numpy()] = found["n"].to_numpy()
     word, context = learn_vectors(grams)
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -500,10 +520,10 @@ def learn(pages: DataFrame, docs: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.int32()), pa.array(list(n.values()), pa.int64())], names=["t", "edge", "n"])
 
     s = pages.select("lines").mapInArrow(shapes, "t string, edge int, n bigint").groupBy("t").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("edge")).alias("e"))
-    fixed = s.where((F.col("e") * rate >= 6) & (F.col("e") >= 0.95 * F.col("n")) & F.col("t").contains("#") & F.col("t").rlike(r"[^# ]")).orderBy(F.desc("n"), "t").limit(20_000)
+    fixed = s.where((F.col("e") * rate >= 6) & (F.col("e") >= 0.95 * F.col("n")) & F.col("t").contains("#") & F.col("t").rlike(r"[^# ]")).select("t")
     edges = [r.t for r in fixed.collect()]
-    bare = {re.sub(r"[# ]", "", t) for t in edges[:500]}
-    return Model(count, index, word, context, set(edges), {x for k in bare if len(k) > 7 for x in (k, *(k[:i] + k[i + 1 :] for i in range(len(k))))})
+    bare = {re.sub(r"[# ]", "", t) for t in edges}
+    return Model(count, index, word, context, set(edges), {x for k in bare if len(k) > 7 for x in (k, *(k[:i] + k[i + 1 :] for i in range(len(k))))}, rate), counts.where(F.col("n") < KNOWN)
 
 
 def read_pages(chunks: DataFrame, ocr: DataFrame, docs: DataFrame) -> DataFrame:
@@ -515,20 +535,33 @@ def read_pages(chunks: DataFrame, ocr: DataFrame, docs: DataFrame) -> DataFrame:
     out; a null title just tells nothing. Pages of a document are read in one task, in order.
     """
     pages = cut(scanned_pages(chunks, ocr, docs), "pages")
-    held = docs.sparkSession.sparkContext.broadcast(learn(pages, docs.select("kind", "text")))
+    learned, rare = learn(pages, docs.select("kind", "text"))
+    held = docs.sparkSession.sparkContext.broadcast(learned)
     titles = docs.where("kind = 'scan'").select("doc_id", "title").dropDuplicates(["doc_id"])
     at = F.coalesce(F.col("at"), F.lit(0))
     block = F.floor(at / BLOCK)
     both = F.when((at % BLOCK == 0) & (at > 0), F.array(block, block - 1)).otherwise(F.array(block))
     placed = pages.withColumn("own", block).withColumn("block", F.explode(both))
     page = F.struct("tbl", "at", "page", "lines", (F.col("own") == F.col("block")).alias("out"))
-    whole = placed.groupBy("doc_id", "block").agg(F.sort_array(F.collect_list(page)).alias("pages")).join(titles, "doc_id")
+    whole = placed.groupBy("doc_id", "block").agg(F.sort_array(F.collect_list(page)).alias("pages"))
+    whole = cut(whole, "blocks")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held.value.count
+        for b in batches:
+            words = [rare_words([l or "" for p in ps for l in p["lines"]], known) for ps in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "block", "words"])
+
+    asked = whole.mapInArrow(ask, "doc_id bigint, block bigint, words array<string>").select("doc_id", "block", F.explode("words").alias("word"))
+    told = asked.join(rare, "word").groupBy("doc_id", "block").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("rare"))
+    whole = whole.join(told, ["doc_id", "block"], "left").join(titles, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for b in batches:
             tbl, doc, page, text, marks = [], [], [], [], []
-            for d, ps, title in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for d, ps, title, rarer in zip(*(b.column(i).to_pylist() for i in range(4))):
+                here = replace(model, count={**model.count, **dict(rarer or ())})
                 done: dict[tuple, tuple] = {}
                 for t in ("chunks", "ocr_results"):
                     mine = [((t, x["page"], x["out"]), x["lines"]) for x in ps if x["tbl"] == t]
@@ -536,7 +569,7 @@ def read_pages(chunks: DataFrame, ocr: DataFrame, docs: DataFrame) -> DataFrame:
                         continue
                     same = tuple(tuple(l) for _, l in mine)
                     if same not in done:
-                        done[same] = read_document(mine, title, model)
+                        done[same] = read_document(mine, title, here)
                     read, texts = done[same]
                     for (key, _), p, s in zip(mine, read, texts):
                         if not key[2]:
@@ -549,4 +582,4 @@ def read_pages(chunks: DataFrame, ocr: DataFrame, docs: DataFrame) -> DataFrame:
             mark_type = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string())]))
             yield pa.RecordBatch.from_arrays([pa.array(tbl, pa.string()), pa.array(doc, pa.int64()), pa.array(page, pa.int32()), pa.array(text, pa.string()), pa.array(marks, mark_type)], names=["tbl", "doc_id", "page", "text", "marks"])
 
-    return whole.select("doc_id", "pages", "title").mapInArrow(run, "tbl string, doc_id bigint, page int, text string, marks array<struct<line_no:int,kind:string>>")
+    return whole.select("doc_id", "pages", "title", "rare").mapInArrow(run, "tbl string, doc_id bigint, page int, text string, marks array<struct<line_no:int,kind:string>>")

@@ -82,6 +82,18 @@ def test_marks_do_not_depend_on_the_size_of_the_corpus(spark, scanned, monkeypat
     assert wrong and wrong <= once and marks(twice(docs), twice(chunks)) == once
 
 
+def test_rare_words_are_counted_exactly(spark, scanned, monkeypatch):
+    docs, chunks, _ = scanned
+    rare = spark.createDataFrame([(1000, "text", None, "lagophthalmos " * 3), (200, "scan", None, "of lago-\nphthalmos and ZE LKIE26"), (1001, "text", None, "ZELKIE26 " * 3)], docs.schema)
+    pages = spark.createDataFrame([(200, 0, 1, "The outcome of mild lago-\nphthalmos and ZE LKIE26 was small")], chunks.schema)
+    for name, value in {"CORPUS": 4_000, "WORDS": 60}.items():  # all of these are beyond the words broadcast
+        monkeypatch.setattr(scans, name, value, raising=False)
+    rows = scans.read_pages(chunks.unionByName(pages), spark.createDataFrame([], OCR), docs.unionByName(rare)).where("doc_id = 200").collect()
+    assert {(m.line_no, m.kind) for r in rows for m in r.marks} == {(0, "hyphen"), (1, "misread")}
+    assert "lagophthalmos and ZELKIE26" in rows[0].text
+    assert "lagophthalmos" in scans.rare_words(["of lago-", "12", "phthalmos"], {"of": 9.0})
+
+
 def test_nothing_scanned(spark, scanned):
     docs, chunks, _ = scanned
     assert scans.read_pages(chunks.limit(0), spark.createDataFrame([], OCR), docs).count() == 0
