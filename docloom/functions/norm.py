@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -243,6 +244,31 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
+def partial_ratio_from(a: str, b: str, least: float) -> float:
+    """partial_ratio where it is more than least, else 0: windows with too few letters in common aren't compared."""
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if not short:
+        return 0.0
+    if short in long:
+        return 1.0
+    n, best = len(short), least
+    want = Counter(short)
+    common = 0
+    for i in range(1 - n, len(long)):
+        if i + n <= len(long):  # a letter comes in
+            x = long[i + n - 1]
+            want[x] -= 1
+            common += want[x] >= 0
+        if i > 0:  # a letter leaves
+            x = long[i - 1]
+            common -= want[x] >= 0
+            want[x] += 1
+        size = min(len(long), i + n) - max(0, i)
+        if 2 * common / (n + size) > best:
+            best = max(best, indel_ratio(short, long[max(0, i) : i + n]))
+    return best if best > least else 0.0
+
+
 def token_set_ratio(a: str, b: str) -> float:
     """Indel ratio of the words in common against each side's words, 0..1, blind to order and repeats."""
     x, y = set(a.split()), set(b.split())
@@ -338,6 +364,14 @@ def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([partial_ratio((x or "").lower(), (y or "").lower()) for x, y in zip(a, b)], dtype=float)
 
 
+def partial_ratio_from_udf(least: float):
+    @F.pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([partial_ratio_from((x or "").lower(), (y or "").lower(), least) for x, y in zip(a, b)], dtype=float)
+
+    return run
+
+
 def snippet_udf(want: list[str], width: int = 240):
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions.columns import DOI, clean_title, first_year, found, isbn_valid, matches, normalize_doi
-from docloom.functions.norm import partial_ratio_udf, title_similarity_udf
+from docloom.functions.norm import partial_ratio_from_udf, partial_ratio_udf, title_similarity_udf
 
 
 def with_suffix(names: DataFrame, name: str, key: str, ending: str) -> DataFrame:
@@ -149,16 +149,46 @@ def split_references(section: str) -> list[str]:
 
 
 def candidate_pairs(refs: DataFrame, works: DataFrame) -> DataFrame:
-    """Pairs of one author and year (one apart at most) in which the citation has the title's longest word.
+    """Pairs of refs (ref_id, raw, first_author, ref_year) and works (work_id, title, year, family, volume, pages) that share one of several keys.
 
-    Author and year alone would pair all of a prolific author's works with all their citations; the
-    longest word keeps a block small however many rows an author has.
+    The title's two rarest words, whatever author and year are; one of them or the longest with the author; the rarest
+    with a year at most one apart; volume and first page. A null author, year or place just makes no key.
+    Words cut at a hyphen also count whole.
     """
-    words = F.array_distinct(F.filter(matches(F.lower(F.coalesce("raw", F.lit(""))), r"[\p{L}\p{N}]+"), lambda w: F.length(w) > 3))
-    said = refs.select("ref_id", F.lower("first_author").alias("a"), F.col("ref_year").alias("y"), F.explode(words).alias("w"))
-    longest = F.array_max(F.transform(matches(F.lower(clean_title(F.col("title"))), r"[\p{L}\p{N}]+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = works.select("work_id", F.lower("family").alias("a"), longest.alias("w"), F.explode(F.sequence(F.col("year") - 1, F.col("year") + 1)).alias("y"))
-    met = said.join(keyed, ["a", "y", "w"]).select("ref_id", "work_id").distinct()
+    key = lambda *c: F.xxhash64(*c)
+    words = lambda c: matches(F.lower(c), r"[\p{L}\p{N}]+")
+    family = lambda c: F.nullif(F.regexp_extract(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[\p{L}\p{N}]+", 0), F.lit(""))
+
+    all_words = words(clean_title(F.col("title")))
+    long = F.filter(all_words, lambda w: F.length(w) > 3)
+    titled = works.where("title is not null").withColumn("t", F.array_distinct(F.when(F.size(long) > 0, long).otherwise(all_words)))
+    each = titled.select("work_id", F.explode("t").alias("w"))
+    counted = each.join(each.groupBy("w").agg(F.count("*").alias("n")), "w")
+    rare = counted.groupBy("work_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "w"))), 1, 2)["w"].alias("rare"))
+    w = titled.join(rare, "work_id", "left").withColumn("t1", F.try_element_at("rare", F.lit(1))).withColumn("t2", F.coalesce(F.try_element_at("rare", F.lit(2)), "t1")).withColumn("a", family("family"))
+    first = F.nullif(F.regexp_extract(F.coalesce("pages", F.lit("")), r"\d+", 0), F.lit(""))
+    volume = F.nullif(F.regexp_extract(F.coalesce("volume", F.lit("")), r"\d+", 0), F.lit(""))
+    near = F.transform(F.sequence(F.col("year") - 1, F.col("year") + 1), lambda y: F.when(F.col("t1").isNotNull(), key(F.lit("year"), "t1", y.cast("int"))))
+    of_work = F.array(
+        F.when(F.col("t1").isNotNull(), key(F.lit("words"), F.least("t1", "t2"), F.greatest("t1", "t2"))),
+        F.when(F.col("a").isNotNull() & F.col("t1").isNotNull(), key(F.lit("author"), "a", "t1")),
+        F.when(F.col("a").isNotNull() & F.col("t2").isNotNull(), key(F.lit("author"), "a", "t2")),
+        F.when(F.col("a").isNotNull() & (F.size("t") > 0), key(F.lit("author"), "a", F.array_max(F.transform("t", lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"])),
+        F.when(volume.isNotNull() & first.isNotNull(), key(F.lit("place"), volume, first)),
+    )
+    keyed = w.select("work_id", F.explode(F.array_distinct(F.concat(of_work, F.coalesce(near, F.array().cast("array<bigint>"))))).alias("key")).where("key is not null")
+
+    raw = F.coalesce("raw", F.lit(""))
+    r = refs.withColumn("t", F.array_distinct(F.concat(words(raw), words(F.regexp_replace(raw, r"(?<=\p{L})[-‐]\s+(?=\p{L})", ""))))).withColumn("d", matches(raw, r"\d+")).withColumn("a", family("first_author"))
+    long = F.filter("t", lambda x: F.length(x) > 3)
+    two = F.flatten(F.transform(long, lambda x: F.transform(F.filter(long, lambda y: y > x), lambda y: key(F.lit("words"), x, y))))
+    one = F.transform("t", lambda x: key(F.lit("words"), x, x))
+    by_author = F.when(F.col("a").isNotNull(), F.transform("t", lambda x: key(F.lit("author"), "a", x)))
+    by_year = F.when(F.col("ref_year").isNotNull(), F.transform("t", lambda x: key(F.lit("year"), x, F.col("ref_year").cast("int"))))
+    place = F.flatten(F.transform("d", lambda x, i: F.transform(F.slice("d", i + 2, 2), lambda y: key(F.lit("place"), x, y))))
+    none = F.array().cast("array<bigint>")
+    said = r.select("ref_id", F.explode(F.array_distinct(F.concat(two, one, place, F.coalesce(by_author, none), F.coalesce(by_year, none)))).alias("key"))
+    met = said.join(keyed, "key").select("ref_id", "work_id").distinct()
     return met.join(refs, "ref_id").join(works, "work_id").select("ref_id", "raw", "first_author", "ref_year", "work_id", "title", "year", "family")
 
 
@@ -168,7 +198,7 @@ def best_candidate(pairs: DataFrame, key: str) -> DataFrame:
     Partial ratio of the title in the raw text, less 0.3 if the years are more than one apart and 0.15
     if the authors differ; accepted from 0.8, at most 0.94. Ties go to the smaller work_id.
     """
-    s = partial_ratio_udf("title", "raw")
+    s = partial_ratio_from_udf(0.79)("title", "raw")  # penalties only take away, so less is never accepted
     s = s - F.when(F.abs(F.col("year") - F.col("ref_year")) > 1, 0.3).otherwise(0.0)
     s = s - F.when((F.coalesce("first_author", F.lit("")) != "") & (F.coalesce("family", F.lit("")) != "") & (F.lower("first_author") != F.lower("family")), 0.15).otherwise(0.0)
     scored = pairs.withColumn("s", F.round(s, 6)).groupBy(key).agg(F.max(F.struct("s", (-F.col("work_id")).alias("w"))).alias("b"))

@@ -1,5 +1,7 @@
 """Scalar functions and similarities against vectors worked out by hand."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,3 +98,11 @@ def test_stage_percent(spark):
     rows = spark.createDataFrame([("ocr", 1.0, 2.0), ("other", 0.0, 0.0), ("publish", 5.0, 5.0)], "s string, d double, t double")
     got = [r.p for r in rows.select(C.stage_percent(F.col("s"), F.col("d"), F.col("t")).alias("p")).collect()]
     assert got == [25.0, 99.0, 99.0]
+
+
+def test_partial_ratio_from_agrees():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randrange(0, 25))) for _ in range(2))
+        p = norm.partial_ratio(a, b)
+        assert norm.partial_ratio_from(a, b, 0.6) == (p if p > 0.6 else 0.0)

@@ -152,6 +152,16 @@ def test_best_candidate(spark):
     assert [(r.ref_id, r.work_id, r.confidence) for r in linkage.best_candidate(spark.createDataFrame(rows, cols), "ref_id").collect()] == [(1, 10, 0.94)]
 
 
+def test_candidates_need_neither_author_nor_year(spark):
+    works = spark.createDataFrame([(1, "Gait after falunamab in hereditary ataxia", 2001, "Roe", "12", "345-350"), (2, "Sleep and zelofen", None, None, None, None), (3, None, 2001, "Roe", "1", "2")], "work_id bigint, title string, year int, family string, volume string, pages string")
+    raws = [("Gait after falunamab in hereditary ataxia. 1994", "Doe", 1994), ("Gait after falunamab in hereditary ataxia", None, None), ("Roe A. Gait after faluna- mab in heredit ary ataxia. 2001", "Roe", 2001), ("Gait after falunarnab in hereditory ataxia. J Gait 12, 345-350", "", None), ("Sleep and zelofen, 2020", "Poe", 2020), ("Something else entirely. 2001", "Roe", 2001)]
+    refs = spark.createDataFrame([(i, *x) for i, x in enumerate(raws)], "ref_id bigint, raw string, first_author string, ref_year int")
+    pairs = linkage.candidate_pairs(refs, works)
+    assert sorted((r.ref_id, r.work_id) for r in pairs.collect()) == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 2)]
+    # two penalties refuse the first
+    assert sorted((r.ref_id, r.work_id) for r in linkage.best_candidate(pairs, "ref_id").collect()) == [(1, 1), (2, 1), (3, 1), (4, 2)]
+
+
 def test_keyphrases_and_tags(spark):
     text = "Amyotrophic lateral sclerosis affects the motor neuron. The motor neuron degenerates. TDP-43 was found. Riluzole and riluzole and riluzole."
     got = [p for p, _ in tags.keyphrases(text)]
