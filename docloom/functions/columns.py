@@ -6,6 +6,8 @@ regex engines.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,9 +56,28 @@ def clean_title(c: Column) -> Column:
     return collapse(F.regexp_replace(F.coalesce(c, F.lit("")), r"<[^>]+>", ""))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters that decompose into one letter and marks, and these letters, both in lower case."""
+    pairs = {}
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        c = chr(code).lower()
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(c) == len(base) == 1 and base != c:
+            pairs[c] = base
+    return "".join(pairs), "".join(pairs.values())
+
+
+_MARKED, _PLAIN = _plain_letters()
+
+
+def fold(c: Column) -> Column:
+    """Lower case without the marks of Latin letters, composed or not; stays in the JVM."""
+    return F.translate(F.regexp_replace(F.lower(c), "[\\u0300-\\u036f]+", ""), _MARKED, _PLAIN)
+
+
 def line_template(c: Column) -> Column:
-    """Digits masked, marks dropped, lower case: lines that differ in numbers only are equal."""
-    t = F.lower(F.regexp_replace(c, r"[0-9]+", "#"))
+    """Digits masked, marks dropped, folded: lines that differ in numbers and accents only are equal."""
+    t = fold(F.regexp_replace(c, r"[0-9]+", "#"))
     return F.btrim(F.regexp_replace(t, r"[^\p{L}\p{N}_#]+", " "))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.columns import INDEX_TOKEN, matches
+from docloom.functions.columns import INDEX_TOKEN, fold, matches
 from docloom.functions.norm import phonetic_udf
 from docloom.session import spread
 
@@ -21,15 +21,18 @@ def index_tokens(norm: Column) -> Column:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(doc_id, idx, term, tf), counted before any shuffle: a chunk's terms never leave its row unmerged."""
-    words = chunk_rows(chunks).select("doc_id", "idx", F.explode(index_tokens(F.col("norm"))).alias("term"))
-    return words.groupBy("doc_id", "idx", "term").agg(F.count("*").cast("int").alias("tf"))
+    """(doc_id, idx, term, tf): counted within each row, then made unique, so that no text is moved."""
+    rows = chunks.where("doc_id is not null and idx is not null").select("doc_id", "idx", F.array_sort(index_tokens(F.coalesce("norm", F.lit("")))).alias("w"))
+    # In a sorted list a term's count is the distance between its first and last place.
+    one = rows.select("doc_id", "idx", "w", F.explode(F.array_distinct("w")).alias("term"))
+    first, last = F.array_position("w", F.col("term")), F.size("w") - F.array_position(F.reverse("w"), F.col("term")) + 1
+    return one.select("doc_id", "idx", "term", (last - first + 1).cast("int").alias("tf")).dropDuplicates(["doc_id", "idx", "term"])
 
 
 def vocabulary_words(text: Column) -> Column:
-    """Words of three characters or more that are not all digits."""
-    words = matches(F.lower(F.coalesce(text, F.lit(""))), r"[\p{L}\p{N}_]+(?:['\-][\p{L}\p{N}_]+)*")
-    return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.rlike(r"^\p{N}+$"))
+    """Folded words of three characters or more that are not all digits and can be spoken (three Latin letters or more)."""
+    words = matches(fold(F.coalesce(text, F.lit(""))), r"[\p{L}\p{N}_]+(?:['\-][\p{L}\p{N}_]+)*")
+    return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.rlike(r"^\p{N}+$") & w.rlike("[a-z](?:.*[a-z]){2}"))
 
 
 def doc_terms(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.columns import safe_stem
 from docloom.operators.pages import chunk_text
+from docloom.session import cut
 
 #: Endings of output files by what they hold (fixed values).
 SUFFIXES = {
@@ -127,42 +128,70 @@ CARD = (
 )
 
 
+#: Characters of notes that the second question takes; the reach is the feature.
+NOTES = 200_000
+
+
+def _object(reply: str) -> dict | None:
+    """The JSON object that a model's reply holds, whatever stands around it."""
+    try:
+        got = json.loads(reply[reply.index("{") : reply.rindex("}") + 1])
+    except ValueError:
+        return None
+    return got if isinstance(got, dict) else None
+
+
+def sections(docs: DataFrame, target: int, overlap: int) -> DataFrame:
+    """doc_id, title, i, page, text, tokens (four letters each): the chunks of each document that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(d, t, i, page, text, max(1, len(text) // 4)) for d, t, x in zip(*(b.column(k).to_pylist() for k in range(3))) for i, (page, text) in enumerate(chunk_text(x or "", target, overlap))]
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=["doc_id", "title", "i", "page", "text", "tokens"])
+
+    return docs.select("doc_id", "title", "text").mapInArrow(run, "doc_id bigint, title string, i int, page int, text string, tokens int")
+
+
 def summarise(docs: DataFrame, provider, budget: int = 60_000, target: int = 2400, overlap: int = 120) -> DataFrame:
-    """doc_id, card (JSON), chunks_used, chunks_total, sampled: notes on each chunk, then one card from the notes.
+    """doc_id, card (JSON), chunks_used, chunks_total, sampled: notes on each section, then one card from a document's notes.
 
-    Chunks are spread evenly if the document is beyond the budget of tokens (four letters each). A
-    reply without an object becomes a note of its text. Blank documents give no row.
+    Map, group, reduce: sections are asked about wherever they are, so a long document is spread over
+    tasks; only notes are grouped. A document beyond the budget of tokens has its sections sampled
+    evenly (at least four). A reply without an object becomes a note, or a card, of its text. Blank
+    documents give no row.
     """
+    parts = cut(sections(docs, target, overlap), "sections")
+    sized = parts.groupBy("doc_id").agg(F.count("*").cast("int").alias("total"), F.sum("tokens").alias("all"))
+    fits = F.greatest(F.lit(4), F.floor(F.col("total") * budget / F.col("all")))
+    sized = sized.select("doc_id", "total", F.when(F.col("all") <= budget, F.col("total")).otherwise(F.least("total", fits)).cast("int").alias("keep"))
+    # Section i is the k-th of those kept if floor(k * total / keep) = i for some k.
+    k = F.ceil(F.col("i") * F.col("keep") / F.col("total"))
+    taken = parts.join(sized, "doc_id").where((k < F.col("keep")) & (F.floor(k * F.col("total") / F.col("keep")) == F.col("i")))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            notes = []
+            for title, i, page, text, total in zip(*(b.column(c).to_pylist() for c in ("title", "i", "page", "text", "total"))):
+                reply = provider(f"Section {i + 1} of {total} of {title or 'an untitled document'}{f', page {page}' if page else ''}:\n\n{text}")
+                notes.append(json.dumps({**(_object(reply) or {"findings": [], "raw": reply[:500]}), "page": page}, ensure_ascii=False))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("title"), b.column("i"), b.column("total"), pa.array(notes, pa.string())], names=["doc_id", "title", "i", "total", "note"])
 
-    def objects(reply: str) -> dict | None:
-        a, b = reply.find("{"), reply.rfind("}")
-        try:
-            v = json.loads(reply[a : b + 1]) if 0 <= a < b else None
-        except ValueError:
-            return None
-        return v if isinstance(v, dict) else None
+    noted = cut(taken.select("doc_id", "title", "i", "page", "text", "total").mapInArrow(ask, "doc_id bigint, title string, i int, total int, note string"), "notes")
+    grouped = noted.groupBy("doc_id").agg(F.first("title").alias("title"), F.first("total").alias("total"), F.array_sort(F.collect_list(F.struct("i", "note"))).alias("notes"))
+    grouped = grouped.select("doc_id", "title", "total", F.transform("notes", lambda x: x["note"]).alias("notes"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, title, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-                parts = list(chunk_text(text or "", target, overlap))
-                if not parts:
-                    continue
-                total = sum(max(1, len(t) // 4) for _, t in parts)
-                keep = len(parts) if total <= budget else min(len(parts), max(4, len(parts) * budget // total))
-                used = parts if keep == len(parts) else [parts[i * len(parts) // keep] for i in range(keep)]
-                notes = []
-                for i, (page, t) in enumerate(used, 1):
-                    reply = provider(f"Document: {title or 'untitled'}\nSection {i}/{len(used)} (page {page or '?'})\n\n{t}")
-                    notes.append({**(objects(reply) or {"findings": [], "raw": reply[:500]}), "page": page})
-                reply = provider(f"Document: {title or 'untitled'}\nNotes:\n" + json.dumps(notes, ensure_ascii=False)[:200_000])
-                card = objects(reply) or {"one_line": reply.strip()[:500], "parse_error": True}
-                if len(used) < len(parts):
-                    card["coverage_note"] = f"summary based on {len(used)} sampled sections of a longer document"
-                rows.append((doc, json.dumps({**dict.fromkeys(CARD), **card}, ensure_ascii=False), len(used), len(parts), len(used) < len(parts)))
-            cols = list(zip(*rows)) or [[], [], [], [], []]
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["doc_id", "card", "chunks_used", "chunks_total", "sampled"])
-
-    return docs.select("doc_id", "title", "text").mapInArrow(run, "doc_id bigint, card string, chunks_used int, chunks_total int, sampled boolean")
+            cards, used, sampled = [], [], []
+            for title, total, notes in zip(*(b.column(c).to_pylist() for c in ("title", "total", "notes"))):
+                reply = provider(f"Notes: of {title or 'an untitled document'}\n[{', '.join(notes)}]"[:NOTES])
+                card = dict.fromkeys(CARD) | (_object(reply) or {"one_line": reply.strip()[:500], "parse_error": True})
+                used.append(len(notes))
+                sampled.append(len(notes) < total)
+                if sampled[-1]:
+                    card["coverage_note"] = f"{len(notes)} of {total} sections were read"
+                cards.append(json.dumps(card, ensure_ascii=False))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cards, pa.string()), pa.array(used, pa.int32()), b.column("total"), pa.array(sampled, pa.bool_())], names=["doc_id", "card", "chunks_used", "chunks_total", "sampled"])
+
+    return grouped.mapInArrow(write, "doc_id bigint, card string, chunks_used int, chunks_total int, sampled boolean")

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions.columns import INDEX_TOKEN
 from docloom.functions.norm import snippet_udf, tokens
-from docloom.operators.index import chunk_rows, index_tokens
+from docloom.operators.index import index_tokens
 from docloom.session import cut, spread
 
 K1, B = 1.2, 0.75
@@ -51,7 +51,8 @@ def bm25(rows: DataFrame, tf: list[Column], dl: Column, keep: list[str]) -> Data
     n = len(tf)
     # Statistics, scores and the test for strict hits all need the counts: a few numbers a row, written
     # once, instead of three scans of the texts.
-    counted = cut(rows.select(*keep, dl.cast("double").alias("dl"), *(c.alias(f"tf{i}") for i, c in enumerate(tf))), "counted")
+    counted = rows.select(*keep, dl.cast("double").alias("dl"), *(c.alias(f"tf{i}") for i, c in enumerate(tf)))
+    counted = cut(counted.dropDuplicates(keep), "counted")  # a row delivered twice counts once; only numbers are moved for that
     stats = counted.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(n)))
     both = counted.crossJoin(F.broadcast(stats))  # one row
 
@@ -72,6 +73,11 @@ def _all(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, columns)
 
 
+def keyed(chunks: DataFrame) -> DataFrame:
+    """Key and norm of chunks that have a key; null norm is empty."""
+    return chunks.where("doc_id is not null and idx is not null").select(*KEY, F.coalesce("norm", F.lit("")).alias("norm"))
+
+
 def keyword(chunks: DataFrame, groups: list[list[str]], limit: int, doc_ids: DataFrame | None = None) -> DataFrame:
     """doc_id, idx, score: every group of alternatives must occur; if no row has them all, any will do.
 
@@ -80,8 +86,7 @@ def keyword(chunks: DataFrame, groups: list[list[str]], limit: int, doc_ids: Dat
     flat = [t for g in groups for t in g]
     if not flat:
         return chunks.sparkSession.createDataFrame([], "doc_id bigint, idx int, score double")
-    rows = spread(chunks.select(*KEY, "norm", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("text")))
-    rows = chunk_rows(rows).select(*KEY, "norm")
+    rows = spread(keyed(chunks))
     scored = bm25(rows, [phrase_count(F.col("norm"), t) for t in flat], F.regexp_count("norm", F.lit(INDEX_TOKEN)), KEY)
     at, hits = 0, []
     for g in groups:
@@ -101,7 +106,7 @@ def jargon(chunks: DataFrame, terms: list[str], limit: int, doc_ids: DataFrame |
     long = [t for t in terms if len(t) >= 5]
     if not long:
         return chunks.sparkSession.createDataFrame([], "doc_id bigint, idx int, score double")
-    rows = chunk_rows(chunks).select(*KEY, "norm")
+    rows = spread(keyed(chunks))
     scored = bm25(rows, [occurrences(F.col("norm"), t) for t in long], F.greatest(F.length("norm") - 2, F.lit(0)), KEY)
     scored = scored.where(_all([F.col(f"tf{i}") > 0 for i in range(len(long))]))
     if doc_ids is not None:
@@ -185,9 +190,10 @@ def search(chunks: DataFrame, vectors: DataFrame | None, text: str, *, limit: in
 
 def materialise(hits: DataFrame, chunks: DataFrame, docs: DataFrame, want: list[str]) -> DataFrame:
     """Hits with page, title and snippet; a hit without its chunk drops out. Snippets are cut for the hits only."""
-    body = chunk_rows(chunks).select(*KEY, "page", "text")
-    titles = docs.select("doc_id", F.coalesce("title", F.lit("")).alias("title"))
-    found = body.join(F.broadcast(hits), KEY).join(titles, "doc_id", "left")
+    # hits is a top-k: the chunks and titles are read through, and only hits are made unique.
+    body = chunks.select(*KEY, "page", "text").join(F.broadcast(hits), KEY).dropDuplicates(KEY)
+    titles = docs.select("doc_id", "title").join(F.broadcast(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+    found = body.join(titles, "doc_id", "left")
     return found.select(*KEY, "page", "score", "routes", F.coalesce("title", F.lit("")).alias("title"), snippet_udf(want)("text").alias("snippet"))
 
 

@@ -58,7 +58,7 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _LINES_SQL = f"SELECT p.doc_id, p.page, string_split(p.text, chr(10)) AS lines FROM ({PAGES_SQL}) p JOIN documents d USING (doc_id) WHERE d.kind = 'scan'"
-_TEMPLATE = r"trim(regexp_replace(lower(regexp_replace({c}, '[0-9]+', '#', 'g')), '[^\p{L}\p{N}_#]+', ' ', 'g'))"
+_TEMPLATE = r"trim(regexp_replace(strip_accents(lower(regexp_replace({c}, '[0-9]+', '#', 'g'))), '[^\p{L}\p{N}_#]+', ' ', 'g'))"
 RECURRING_SQL = (
     f"WITH p AS ({_LINES_SQL}), t AS (SELECT doc_id, page, unnest(list_distinct(list_transform(lines, lambda l: {_TEMPLATE.replace('{c}', 'l')}))) AS template FROM p), n AS (SELECT doc_id, count(DISTINCT page) AS n FROM p GROUP BY doc_id) "
     "SELECT doc_id, template, c AS pages FROM (SELECT doc_id, template, count(DISTINCT page) AS c FROM t WHERE template <> '' GROUP BY ALL) JOIN n USING (doc_id) WHERE c >= greatest(2, CAST(floor(n * 0.5 + 0.999) AS INTEGER))"

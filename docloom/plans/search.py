@@ -60,8 +60,8 @@ def index_postings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _TERMS_SQL = (
-    r"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(coalesce(title, '') || chr(10) || coalesce(text, '')), '[\p{L}\p{N}_]+(?:[''\-][\p{L}\p{N}_]+)*'), "
-    r"lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '\p{N}+'))) AS term FROM documents WHERE doc_id IS NOT NULL) GROUP BY ALL"
+    r"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(strip_accents(lower(coalesce(title, '') || chr(10) || coalesce(text, ''))), '[\p{L}\p{N}_]+(?:[''\-][\p{L}\p{N}_]+)*'), "
+    r"lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '\p{N}+') AND length(regexp_replace(w, '[^a-z]', '', 'g')) >= 3)) AS term FROM documents WHERE doc_id IS NOT NULL) GROUP BY ALL"
 )
 
 

@@ -10,8 +10,6 @@ from docloom.operators import tags
 from docloom.plans.base import query
 from docloom.session import table
 
-_FROM, _TO = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-
 
 def _in(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words))
@@ -22,7 +20,7 @@ _LANG_TOP = "greatest(" + ", ".join(f"l_{g}" for g in tags.MARKERS) + ")"
 _LANG_FIRST = "CASE " + " ".join(f"WHEN l_{g} = top THEN '{g}'" for g in tags.MARKERS) + " END"
 LANG_SQL = (
     f"SELECT doc_id, CASE WHEN top >= greatest(3.0, total * 0.01) THEN {_LANG_FIRST} END AS lang FROM (SELECT *, {_LANG_TOP} AS top FROM (SELECT doc_id, len(w) AS total, {_LANG_COUNTS} "
-    f"FROM (SELECT doc_id, regexp_extract_all(translate(lower(left(coalesce(text, ''), 6000)), '{_FROM}', '{_TO}'), '[a-z]+') AS w FROM documents)))"
+    f"FROM (SELECT doc_id, regexp_extract_all(strip_accents(lower(left(coalesce(text, ''), 6000))), '[a-z]+') AS w FROM documents)))"
 )
 
 
@@ -34,7 +32,7 @@ def lang_guess(spark: SparkSession, folder: str) -> DataFrame:
 _W = tags.WORD.replace("'", "''")
 TERMS_SQL = (
     f"WITH t AS (SELECT doc_id, unnest(w) AS tok, unnest(range(0, len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all(left(coalesce(text, ''), 60000), '{_W}') AS w FROM documents WHERE doc_id IS NOT NULL)), "
-    f"l AS (SELECT *, translate(lower(trim(tok, '''’-')), '{_FROM}', '{_TO}') AS low FROM t), k AS (SELECT * FROM l WHERE length(low) >= 3 AND low NOT IN ({_in(tags.STOP)}) AND (regexp_matches(tok, '{tags.ACRONYM}') OR length(low) >= 5)), "
+    f"l AS (SELECT *, strip_accents(lower(trim(tok, '''’-'))) AS low FROM t), k AS (SELECT * FROM l WHERE length(low) >= 3 AND low NOT IN ({_in(tags.STOP)}) AND (regexp_matches(tok, '{tags.ACRONYM}') OR length(low) >= 5)), "
     r"g AS (SELECT doc_id, low, count(*) AS n, min({'small': NOT regexp_matches(left(tok, 1), '\p{Lu}'), 'pos': pos, 'tok': tok}).tok AS term, min(pos) AS place FROM k GROUP BY doc_id, low HAVING count(*) >= 3) "
     "SELECT doc_id, term, n AS \"count\", rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, place) AS rank FROM g) WHERE rank <= 6"
 )
@@ -46,7 +44,7 @@ def top_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 RAKE_SQL = (
-    f"WITH p AS (SELECT doc_id, unnest(ps) AS part, unnest(range(0, len(ps))) AS line FROM (SELECT doc_id, string_split(regexp_replace(translate(lower(left(coalesce(text, ''), 60000)), '{_FROM}', '{_TO}'), '[^\\p{{L}}\\p{{N}}_'' \\-]+', '|', 'g'), '|') AS ps FROM documents WHERE doc_id IS NOT NULL)), "
+    f"WITH p AS (SELECT doc_id, unnest(ps) AS part, unnest(range(0, len(ps))) AS line FROM (SELECT doc_id, string_split(regexp_replace(strip_accents(lower(left(coalesce(text, ''), 60000))), '[^\\p{{L}}\\p{{N}}_'' \\-]+', '|', 'g'), '|') AS ps FROM documents WHERE doc_id IS NOT NULL)), "
     "w AS (SELECT doc_id, line, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM (SELECT doc_id, line, regexp_extract_all(part, '[\\p{L}\\p{N}_''\\-]+') AS ws FROM p)), "
     f"s AS (SELECT *, word IN ({_in(tags.STOP)}) OR length(word) < 3 AS stop FROM w), r AS (SELECT *, sum(CAST(stop AS INTEGER)) OVER (PARTITION BY doc_id, line ORDER BY pos) AS run FROM s), "
     "z AS (SELECT doc_id, word, count(*) OVER (PARTITION BY doc_id, line, run) AS size FROM r WHERE NOT stop) "

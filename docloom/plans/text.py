@@ -57,7 +57,7 @@ def clean_title(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "works").select("work_id", C.clean_title(F.col("title")).alias("title"))
 
 
-@query(r"SELECT ref_id, trim(regexp_replace(lower(regexp_replace(raw, '[0-9]+', '#', 'g')), '[^\p{L}\p{N}_#]+', ' ', 'g')) AS template FROM refs")
+@query(r"SELECT ref_id, trim(regexp_replace(strip_accents(lower(regexp_replace(raw, '[0-9]+', '#', 'g'))), '[^\p{L}\p{N}_#]+', ' ', 'g')) AS template FROM refs")
 def line_template(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "refs").select("ref_id", C.line_template(F.col("raw")).alias("template"))
 

@@ -45,9 +45,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests) a local folder."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a local folder for a session on one machine, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = _local_base()
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(base)
