@@ -35,8 +35,9 @@ CONNECTIVE = {
     "fr": "cependant toutefois en outre ainsi donc néanmoins tandis alors bien quoique malgré nonobstant puisque parce car lorsque afin notamment partant dès conséquent dont où",
     "es": "sin embargo además asimismo por tanto así pues no obstante mientras aunque pese pesar puesto porque cuando siempre salvo máxime siquiera consiguiente cuyo cuya donde luego",
 }
-#: Words of which frequencies are kept for the measure of rarity; a bound of what is broadcast.
-FREQUENT = 30_000
+#: A word is rare, and as rare as any, below this share of all words; so at most its inverse are
+#: broadcast, however large the corpus is.
+RARE_SHARE = 5e-6
 #: Most marks that the model is fitted to (by hash of doc_id and rater); a bound of the fit only.
 MARKS = 50_000
 FEWEST_WORDS = 40
@@ -136,10 +137,11 @@ def _of_sentences(size: np.ndarray, length: np.ndarray) -> tuple[float, ...]:
 
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, words, lang and FEATURES of documents with at least FEWEST_WORDS words of prose."""
-    counts = word_counts(docs.select("text")).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    total = sum(r.n for r in counts) or 1
+    words = cut(word_counts(docs.select("text")), "words")
+    total = words.agg(F.sum("n")).first()[0] or 1
+    counts = words.where(F.col("n") >= RARE_SHARE * total).collect()  # at most 1 / RARE_SHARE
     held = docs.sparkSession.sparkContext.broadcast({r.word: float(np.log(total / r.n)) for r in counts})
-    unseen = float(np.log(total)) + 1
+    unseen = float(-np.log(RARE_SHARE)) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = _Default(held.value, unseen).__getitem__

@@ -21,6 +21,8 @@ from docloom.session import cut
 #: The points live on a ring of 2^31 places; the step is the odd number next to 2^31 / golden ratio.
 RING, STEP = 1 << 31, 1_327_217_885
 #: Slots ranked in one window, and tokens (at most about) ordered in one window.
+#: Blocks of the source of least weight: its share is met to about one part in so many.
+FINE = 64
 SLOT_RUN, TOKEN_RUN = 1 << 16, 1 << 24
 
 
@@ -30,9 +32,12 @@ class Mixture:
     shares: DataFrame
 
 
-def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = 16, total_tokens: int | None = None, seed: int = 7, tokenizer: str | None = None) -> Mixture:
+def mix(docs: DataFrame, targets: DataFrame, block_tokens: int | None = None, total_tokens: int | None = None, seed: int = 7, tokenizer: str | None = None) -> Mixture:
     """The largest mixture in which every present source has its weight, or one of total_tokens.
 
+    Blocks are as large a power of two (16 to 2,048 tokens) as leaves the source of least weight
+    FINE blocks of the mixture, so that their number doesn't follow the corpus.
+
     docs: doc_id, source, text. targets: source, weight, max_repeat; a table of settings, read to the
     driver. blocks: slot, source, doc_id, repeat (from 0), token_from, token_to (of the document's
     ids, end exclusive). shares: one row for each target with what it reached. Documents of other
@@ -51,6 +56,10 @@ def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = 16, total_token
     have = {r.source: (r.n, r.d) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("d")).collect()}
     present = [r for r in wanted if r.source in have]
     weight = sum(r.weight for r in present) or 1.0
+    if block_tokens is None:
+        tokens = min((have[r.source][0] * r.max_repeat * weight / r.weight for r in present), default=0)
+        least = min((r.weight / weight for r in present), default=0) * min(tokens, total_tokens or tokens)
+        block_tokens = 1 << min(11, max(4, int(least / FINE).bit_length() - 1))
     full = {r.source: have[r.source][0] * r.max_repeat // block_tokens for r in present}
     most = min((full[r.source] * weight / r.weight for r in present), default=0)
     n = int(most) + len(present) + 8  # some more, as the schedule may run a little behind; cut below
