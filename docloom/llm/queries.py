@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_links(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents and entries are histories of their own, each taken in batch by batch."""
-    docs = history.link_batches(history.DocumentHistory(spark), table(spark, folder, "documents"))
-    entries = history.link_batches(history.EntryHistory(spark), table(spark, folder, "entries"))
+    """Documents and entries are histories of their own, each taken in batch by batch, side by side."""
+    with ThreadPoolExecutor(2) as pool:
+        docs = pool.submit(lambda: history.link_batches(history.DocumentHistory(spark), table(spark, folder, "documents")))
+        entries = pool.submit(lambda: history.link_batches(history.EntryHistory(spark), table(spark, folder, "entries")))
+        docs, entries = docs.result(), entries.result()
     return docs.select(F.lit("documents").alias("tbl"), "*").unionByName(entries.select(F.lit("entries").alias("tbl"), "*"))
 
 
