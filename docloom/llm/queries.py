@@ -29,11 +29,16 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split(table(spark, folder, "chunks")).where("pieces > 1").select("doc_id", "idx").distinct()
 
 
+#: Batches of the tables (24 small ones) that an ingest takes in; the links are those of one at a time,
+#: which costs a Spark driver some 300 queries (README).
+TOGETHER = 4
+
+
 def p3_links(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents and entries are histories of their own, each taken in batch by batch, side by side."""
+    """Documents and entries are histories of their own, each taken in in the order of batches, side by side."""
     with ThreadPoolExecutor(2) as pool:
-        docs = pool.submit(lambda: history.link_batches(history.DocumentHistory(spark), table(spark, folder, "documents")))
-        entries = pool.submit(lambda: history.link_batches(history.EntryHistory(spark), table(spark, folder, "entries")))
+        docs = pool.submit(lambda: history.link_batches(history.DocumentHistory(spark), table(spark, folder, "documents"), TOGETHER))
+        entries = pool.submit(lambda: history.link_batches(history.EntryHistory(spark), table(spark, folder, "entries"), TOGETHER))
         docs, entries = docs.result(), entries.result()
     return docs.select(F.lit("documents").alias("tbl"), "*").unionByName(entries.select(F.lit("entries").alias("tbl"), "*"))
 
