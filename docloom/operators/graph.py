@@ -26,6 +26,28 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
+def similar_edges(nodes: DataFrame, encode, least: float = 0.6) -> DataFrame:
+    """(source, target, kind, weight) between nodes (node, title) of similar titles, source before target; none below three nodes.
+
+    nodes is a graph's (at most a few dozen, a bound of the feature): they are compared in one task.
+    Null and empty titles, and titles that are only a DOI, have no edges.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((n, t) for b in batches for n, t in zip(*(b.column(i).to_pylist() for i in range(2))))
+        titled = [(n, t) for n, t in rows if t and not t.startswith("10.")]
+        out: list[tuple[str, str]] = []
+        if len(rows) >= 3 and titled:
+            v = np.array(encode([t for _, t in titled]), float)
+            at = np.argwhere(np.triu(v @ v.T >= least, 1))
+            out = [(titled[i][0], titled[j][0]) for i, j in at]
+        cols = list(zip(*out)) or [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], names=["source", "target"])
+
+    found = nodes.select("node", "title").coalesce(1).mapInArrow(run, "source string, target string")
+    return found.select("source", "target", F.lit("similar").alias("kind"), F.lit(0.5).alias("weight"))
+
+
 def neighbourhood(works: DataFrame, seeds: DataFrame, most: int = 40, per_seed: int = 12) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around seeds (node, at): each seed with up to half of per_seed works it cites and as many that cite it.
 

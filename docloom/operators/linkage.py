@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.functions.columns import DOI, clean_title, first_year, found, isbn_valid, matches, normalize_doi
+from docloom.functions.columns import DOI, clean_title, first_year, fold, found, isbn_valid, matches, normalize_doi
 from docloom.functions.norm import partial_ratio_from_udf, partial_ratio_udf, title_similarity_udf
 
 
@@ -148,6 +148,50 @@ def split_references(section: str) -> list[str]:
     return [g for g in tidy if len(g) >= 20]
 
 
+def missing_fields(asked: list[str]) -> Column:
+    """Names of the asked columns that are null or empty."""
+    filled = F.array(*(F.when(F.col(c) != "", F.lit(c)) for c in asked))
+    return F.array_except(F.array(*map(F.lit, asked)), filled)
+
+
+def codes_once(rows: DataFrame, group: str, code: str, order: str) -> DataFrame:
+    """group, codes: each code once, in the order of its first row; made unique before they are gathered, so a large group costs its codes only."""
+    first = rows.where(F.col(group).isNotNull() & F.col(code).isNotNull()).groupBy(group, code).agg(F.min(order).alias("at"))
+    return first.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col(code).alias("c")))), lambda x: x["c"]).alias("codes"))
+
+
+def by_title(rows: DataFrame, works: DataFrame, key: str, least: float = 0.85, shortest: int = 12) -> DataFrame:
+    """key, work_id, similarity: the work of the most similar title, from `least` on, for rows (key, title) with titles of more than `shortest` letters.
+
+    Titles meet if they share one of the rarer two words of the work's title (rarity over all works),
+    one more, and half of the words of the shorter. Ties by work_id; null and short titles have none.
+    """
+    words = lambda c: F.array_distinct(F.filter(matches(fold(clean_title(F.col(c))), r"[\p{L}\p{N}]+"), lambda w: F.length(w) > 2))
+    w = works.where("title is not null").select("work_id", "title", words("title").alias("t"))
+    each = w.select("work_id", F.explode("t").alias("w"))
+    counted = each.join(each.groupBy("w").agg(F.count("*").alias("n")), "w")
+    rare = counted.groupBy("work_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "w"))), 1, 2)["w"].alias("rare"))  # a title's words
+    w = w.join(rare, "work_id").select("work_id", F.col("title").alias("other"), "t", F.explode("rare").alias("w"))
+    pair = lambda a, b: F.xxhash64(F.least(a, b), F.greatest(a, b))
+    keyed = w.select("work_id", "other", F.col("t").alias("u"), F.explode(F.array_distinct(F.transform("t", lambda x: pair(x, F.col("w"))))).alias("k"))
+    asks = rows.where(F.col(key).isNotNull() & (F.length("title") > shortest)).select(key, "title", words("title").alias("t")).dropDuplicates([key])
+    asked = asks.select(key, "title", F.explode("t").alias("w"), "t").select(key, "title", "t", F.explode(F.transform("t", lambda x: pair(x, F.col("w")))).alias("k")).distinct()
+    most = F.size(F.array_intersect("t", "u")) * 2 >= F.least(F.size("t"), F.size("u"))
+    met = asked.join(keyed, "k").where(most).select(key, "title", "work_id", "other").distinct()
+    scored = met.withColumn("similarity", F.round(title_similarity_udf("title", "other"), 6)).where(F.col("similarity") >= least)
+    best = scored.groupBy(key).agg(F.max(F.struct("similarity", (-F.col("work_id")).alias("minus"))).alias("b"))
+    return best.select(key, (-F.col("b.minus")).alias("work_id"), F.col("b.similarity").alias("similarity"))
+
+
+def resolve(rows: DataFrame, works: DataFrame, key: str, ids: list[str]) -> DataFrame:
+    """key, work_id, method of rows: by identifier in the order of ids, else by title; null where neither finds one."""
+    known = by_priority(rows, works, key, ids)
+    open_ = rows.join(known.where("work_id is null").select(key), key, "left_semi").select(key, "title")
+    titled = by_title(open_, works, key).select(key, F.col("work_id").alias("by_title"))
+    both = known.join(titled, key, "left")
+    return both.select(key, F.coalesce("work_id", "by_title").alias("work_id"), F.when(F.col("work_id").isNull() & F.col("by_title").isNotNull(), F.lit("title")).otherwise(F.col("method")).alias("method"))
+
+
 def candidate_pairs(refs: DataFrame, works: DataFrame) -> DataFrame:
     """Pairs of refs (ref_id, raw, first_author, ref_year) and works (work_id, title, year, family, volume, pages) that share one of several keys.
 

@@ -52,6 +52,24 @@ def resolve_by_ids(spark: SparkSession, folder: str) -> DataFrame:
     return linkage.by_priority(table(spark, folder, "entries"), table(spark, folder, "works"), "entry_id", ["doi", "arxiv", "pmid"])
 
 
+@query()
+def resolve_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries with their work: by identifier, else by title from 0.85 on."""
+    return linkage.resolve(table(spark, folder, "entries"), table(spark, folder, "works"), "entry_id", ["doi", "arxiv", "pmid"])
+
+
+@query("SELECT work_id, list_filter(['doi', 'pmid', 'pmcid', 'arxiv', 'oa_url'], lambda f: NOT list_contains(list_filter([CASE WHEN doi <> '' THEN 'doi' END, CASE WHEN pmid <> '' THEN 'pmid' END, CASE WHEN pmcid <> '' THEN 'pmcid' END, CASE WHEN arxiv <> '' THEN 'arxiv' END, CASE WHEN oa_url <> '' THEN 'oa_url' END], lambda x: x IS NOT NULL), f)) AS missing FROM works")
+def fields_missing(spark: SparkSession, folder: str) -> DataFrame:
+    """Asked fields that a record leaves empty, in the order asked."""
+    return table(spark, folder, "works").select("work_id", linkage.missing_fields(["doi", "pmid", "pmcid", "arxiv", "oa_url"]).alias("missing"))
+
+
+@query("SELECT source, string_agg(lang, '+' ORDER BY place) AS langs FROM (SELECT source, lang, min(doc_id) AS place FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2) GROUP BY source")
+def source_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language codes of a source, each once, in the order in which they first came."""
+    return linkage.codes_once(table(spark, folder, "documents"), "source", "lang", "doc_id").select("source", F.array_join("codes", "+").alias("langs"))
+
+
 @query(
     "WITH w AS (SELECT min(work_id) AS work_id, lower(doi) AS doi FROM works WHERE doi <> '' GROUP BY 2), p AS (SELECT min(work_id) AS work_id, lower(pmid) AS pmid FROM works WHERE pmid <> '' GROUP BY 2), "
     "r AS (SELECT r.ref_id, r.doc_id, CASE WHEN w.work_id IS NOT NULL THEN 0.98 WHEN p.work_id IS NOT NULL THEN 0.95 END AS c FROM refs r LEFT JOIN w ON w.doi = lower(r.doi) LEFT JOIN p ON p.pmid = lower(r.pmid)) SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE c >= 0.8) AS resolved FROM r GROUP BY doc_id"

@@ -210,3 +210,36 @@ def test_similar_to_against_brute_force(spark):
     u = x / np.linalg.norm(x, axis=1)[:, None]
     assert got == {(i, j) for i in range(0, 60, 10) for j in range(60) if i != j and round(float(u[i] @ u[j]), 6) >= 0.5}
     assert similarity.similar_to(df.limit(0), df, 0.5).count() == 0
+
+
+def test_resolution_by_title(spark):
+    """Against all pairs: the most similar title from 0.85 on."""
+    from docloom.functions.norm import title_similarity
+
+    titles = ["Gait speed in early dystonia", "Gait speed in late dystonia", "Sleep quality of night workers: a cohort", "Grip strength and ageing", "Effects of tofersen on motor neurons"]
+    works = spark.createDataFrame([(i, t, "10.1/a" if i == 3 else None) for i, t in enumerate(titles)] + [(9, None, None), (10, titles[0], None)], "work_id bigint, title string, doi string")
+    asked = ["Gait speed in early dystonia.", "<i>Sleep</i> quality of night workers - a cohort", "Something else entirely here", "Effects of tofersen on motor neurone", "short", None, "GAIT SPEED IN LATE DYSTONIA"]
+    rows = spark.createDataFrame([(100 + i, t, "10.1/A" if i == 2 else None) for i, t in enumerate(asked)], "entry_id bigint, title string, doi string")
+    want = {}
+    for i, t in enumerate(asked):
+        best = max(((round(title_similarity(t, w), 6), -j) for j, w in enumerate(titles)), default=(0, 0)) if t and len(t) > 12 else (0, 0)
+        if best[0] >= 0.85:
+            want[100 + i] = -best[1]
+    got = {r.entry_id: r.work_id for r in linkage.by_title(rows, works, "entry_id").collect()}
+    assert got == want and len(want) == 4
+    both = {r.entry_id: (r.work_id, r.method) for r in linkage.resolve(rows, works, "entry_id", ["doi"]).collect()}
+    assert both[102] == (3, "doi") and both[100] == (0, "title") and both[104] == (None, None) and len(both) == 7
+
+
+def test_similar_edges_and_small_columns(spark):
+    from docloom.operators import graph
+    from docloom.sources import adapters
+
+    nodes = spark.createDataFrame([("a", "gait speed in dystonia"), ("b", "dystonia gait speed in"), ("c", "unrelated words only"), ("d", None), ("e", "10.1/x")], "node string, title string")
+    got = {tuple(r) for r in graph.similar_edges(nodes, adapters.hashing_encoder()).collect()}
+    assert got == {("a", "b", "similar", 0.5)}
+    assert graph.similar_edges(nodes.limit(2), adapters.hashing_encoder()).count() == 0 == graph.similar_edges(nodes.limit(0), adapters.hashing_encoder()).count()
+    w = spark.createDataFrame([("x", None, ""), (None, None, "y")], "doi string, pmid string, arxiv string").select(linkage.missing_fields(["doi", "pmid", "arxiv"]).alias("m"))
+    assert [r.m for r in w.collect()] == [["pmid", "arxiv"], ["doi", "pmid"]]
+    codes = linkage.codes_once(spark.createDataFrame([("s", "de", 2), ("s", "en", 1), ("s", "de", 3), ("s", None, 0), (None, "fr", 1)], "g string, c string, o int"), "g", "c", "o")
+    assert [(r.g, r.codes) for r in codes.collect()] == [("s", ["en", "de"])]
