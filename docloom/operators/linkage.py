@@ -163,24 +163,28 @@ def codes_once(rows: DataFrame, group: str, code: str, order: str) -> DataFrame:
 def by_title(rows: DataFrame, works: DataFrame, key: str, least: float = 0.85, shortest: int = 12) -> DataFrame:
     """key, work_id, similarity: the work of the most similar title, from `least` on, for rows (key, title) with titles of more than `shortest` letters.
 
-    Titles meet if they share one of the rarer two words of the work's title (rarity over all works),
-    one more, and half of the words of the shorter. Ties by work_id; null and short titles have none.
+    Titles meet if they share the rarest word of the work's title and one of the next two (rarity over all works'
+    titles) and half of the words of the shorter; equal titles are compared once. Ties by work_id; null
+    and short titles have none.
     """
     words = lambda c: F.array_distinct(F.filter(matches(fold(clean_title(F.col(c))), r"[\p{L}\p{N}]+"), lambda w: F.length(w) > 2))
-    w = works.where("title is not null").select("work_id", "title", words("title").alias("t"))
-    each = w.select("work_id", F.explode("t").alias("w"))
+    w = works.where("title is not null").groupBy("title").agg(F.min("work_id").alias("work_id")).select("work_id", F.col("title").alias("other"), words("title").alias("u"))
+    each = w.select("work_id", F.explode("u").alias("w"))
     counted = each.join(each.groupBy("w").agg(F.count("*").alias("n")), "w")
-    rare = counted.groupBy("work_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "w"))), 1, 2)["w"].alias("rare"))  # a title's words
-    w = w.join(rare, "work_id").select("work_id", F.col("title").alias("other"), "t", F.explode("rare").alias("w"))
+    rare = counted.groupBy("work_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "w"))), 1, 3)["w"].alias("r"))  # a title's words
     pair = lambda a, b: F.xxhash64(F.least(a, b), F.greatest(a, b))
-    keyed = w.select("work_id", "other", F.col("t").alias("u"), F.explode(F.array_distinct(F.transform("t", lambda x: pair(x, F.col("w"))))).alias("k"))
-    asks = rows.where(F.col(key).isNotNull() & (F.length("title") > shortest)).select(key, "title", words("title").alias("t")).dropDuplicates([key])
-    asked = asks.select(key, "title", F.explode("t").alias("w"), "t").select(key, "title", "t", F.explode(F.transform("t", lambda x: pair(x, F.col("w")))).alias("k")).distinct()
+    of = lambda i: F.try_element_at("r", F.lit(i))
+    keys = F.filter(F.array(*(F.when(of(b).isNotNull(), pair(of(a), of(b))) for a, b in ((1, 2), (1, 3)))), lambda k: k.isNotNull())
+    keyed = w.join(rare.where("size(r) > 1"), "work_id").select("work_id", "other", "u", F.explode(F.array_distinct(keys)).alias("k"))
+    asked = rows.where(F.col(key).isNotNull() & (F.length("title") > shortest)).select("title").distinct().select("title", words("title").alias("t"))
+    each = asked.select("title", "t", F.posexplode("t").alias("i", "w"))
+    each = each.select("title", "t", F.explode(F.transform(F.slice("t", F.col("i") + 2, F.size("t")), lambda x: pair(x, F.col("w")))).alias("k"))
     most = F.size(F.array_intersect("t", "u")) * 2 >= F.least(F.size("t"), F.size("u"))
-    met = asked.join(keyed, "k").where(most).select(key, "title", "work_id", "other").distinct()
+    met = each.join(keyed, "k").where(most).select("title", "work_id", "other").distinct()
     scored = met.withColumn("similarity", F.round(title_similarity_udf("title", "other"), 6)).where(F.col("similarity") >= least)
-    best = scored.groupBy(key).agg(F.max(F.struct("similarity", (-F.col("work_id")).alias("minus"))).alias("b"))
-    return best.select(key, (-F.col("b.minus")).alias("work_id"), F.col("b.similarity").alias("similarity"))
+    best = scored.groupBy("title").agg(F.max(F.struct("similarity", (-F.col("work_id")).alias("minus"))).alias("b"))
+    best = best.select("title", (-F.col("b.minus")).alias("work_id"), F.col("b.similarity").alias("similarity"))
+    return rows.where(F.col(key).isNotNull()).select(key, "title").dropDuplicates([key]).join(best, "title").select(key, "work_id", "similarity")
 
 
 def resolve(rows: DataFrame, works: DataFrame, key: str, ids: list[str]) -> DataFrame:
