@@ -21,12 +21,16 @@ def index_tokens(norm: Column) -> Column:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(doc_id, idx, term, tf): counted within each row, then made unique, so that no text is moved."""
-    rows = chunks.where("doc_id is not null and idx is not null").select("doc_id", "idx", F.array_sort(index_tokens(F.coalesce("norm", F.lit("")))).alias("w"))
-    # In a sorted list a term's count is the distance between its first and last place.
-    one = rows.select("doc_id", "idx", "w", F.explode(F.array_distinct("w")).alias("term"))
-    first, last = F.array_position("w", F.col("term")), F.size("w") - F.array_position(F.reverse("w"), F.col("term")) + 1
-    return one.select("doc_id", "idx", "term", (last - first + 1).cast("int").alias("tf")).dropDuplicates(["doc_id", "idx", "term"])
+    """(doc_id, idx, term, tf): counted before the one shuffle, in which no text is moved.
+
+    Each row also says once which terms it has, so that a chunk delivered twice is counted and divided
+    by its deliveries.
+    """
+    w = index_tokens(F.coalesce("norm", F.lit("")))
+    rows = chunks.where("doc_id is not null and idx is not null").select("doc_id", "idx", w.alias("w"))
+    both = F.concat(F.transform("w", lambda x: F.struct(x.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("row"))), F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("row"))))
+    words = rows.select("doc_id", "idx", F.inline(both))
+    return words.groupBy("doc_id", "idx", "term").agg((F.sum("n") / F.sum("row")).cast("int").alias("tf"))
 
 
 def vocabulary_words(text: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docloom.functions.columns import YEAR
 from docloom.operators import tags
@@ -71,4 +70,4 @@ def auto_tags(spark: SparkSession, folder: str) -> DataFrame:
     f"SELECT doc_id, y AS year FROM (SELECT doc_id, CAST(list_sort(list_transform(list_distinct(ys), lambda y: {{'n': -len(list_filter(ys, lambda x: x = y)), 'place': list_position(ys, y), 'y': y}}))[1].y AS INTEGER) AS y FROM (SELECT doc_id, regexp_extract_all(coalesce(title, '') || chr(10) || left(coalesce(text, ''), 4000), '{YEAR}', 1) AS ys FROM documents))"
 )
 def year_detect(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", tags.year_of(F.col("title"), F.col("text")).alias("year"))
+    return tags.with_year(table(spark, folder, "documents").select("doc_id", "title", "text")).select("doc_id", "year")
