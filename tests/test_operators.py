@@ -231,6 +231,16 @@ def test_resolution_by_title(spark):
     assert both[102] == (3, "doi") and both[100] == (0, "title") and both[104] == (None, None) and len(both) == 7
 
 
+def test_resolution_in_small_plans(spark):
+    """What the driver plans at once stays small, however many steps come before."""
+    works = spark.createDataFrame([(1, "Gait speed in early dystonia", "10.1/a")], "work_id bigint, title string, doi string")
+    rows = spark.createDataFrame([(7, "Gait speed in early dystonia.", None), (7, "Gait speed in late dystonia", None), (8, None, "10.1/A")], "entry_id bigint, title string, doi string")
+    got = linkage.resolve(rows, works, "entry_id", ["doi"])
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") <= 4 and plan.count("Generate") == 0
+    assert {r.entry_id: r.work_id for r in got.collect()} == {7: 1, 8: 1}
+
+
 def test_similar_edges_and_small_columns(spark):
     from docloom.operators import graph
     from docloom.sources import adapters
