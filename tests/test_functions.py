@@ -106,3 +106,13 @@ def test_partial_ratio_from_agrees():
         a, b = ("".join(rng.choice("abcd") for _ in range(rng.randrange(0, 25))) for _ in range(2))
         p = norm.partial_ratio(a, b)
         assert norm.partial_ratio_from(a, b, 0.6) == (p if p > 0.6 else 0.0)
+
+
+def test_partial_ratio_from_leaves_no_window_out():
+    rng = random.Random(8)
+    for _ in range(400):
+        a = "".join(rng.choices("abcdefgh ", k=rng.randint(1, 30)))
+        b = "".join(c if rng.random() > 0.12 else rng.choice(["", "x", c + "a"]) for c in "".join(rng.choices("abcdefgh ", k=rng.randint(0, 20))) + a[rng.randint(0, 3) :] + "tail of it"[: rng.randint(0, 10)])
+        p = norm.partial_ratio(a, b)
+        for least in (0.5, 0.79, 0.85, 0.95):
+            assert norm.partial_ratio_from(a, b, least) == (p if p > least else 0.0), (a, b, least)

@@ -1,11 +1,13 @@
 """Operators on small frames: reference vectors, brute force, and empty, null and repeated rows."""
 
+import random
 import sqlite3
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions import norm
 from docloom.operators import cost, graph, index, linkage, pages, search, similarity, store, tags
 
 CHUNK = "doc_id bigint, idx int, page int, text string, norm string"
@@ -162,6 +164,39 @@ def test_candidates_need_neither_author_nor_year(spark):
     assert sorted((r.ref_id, r.work_id) for r in linkage.best_candidate(pairs, "ref_id").collect()) == [(1, 1), (2, 1), (3, 1), (4, 2)]
 
 
+def test_copies_of_references_and_works_are_compared_once(spark):
+    refs = spark.range(1500).selectExpr("id as ref_id", "'Roe A. Gait after falunamab in hereditary atoxia. 2001' as raw", "'Roe' as first_author", "2001 as ref_year")
+    work = "struct('Gait after falunamab in hereditary ataxia' as title, if(id % 3 = 0, 2001, 1990) as year, 'Roe' as family, '1' as volume, '2' as pages)"
+    works = spark.range(1, 1501).selectExpr("id as work_id", f"{work} as w").select("work_id", "w.*")
+    texts = linkage._alike(refs)[1]
+    assert linkage._met(texts, works, near_only=True).count() == 1  # of 2,250,000
+    got = linkage.best_candidates(refs, works)
+    assert {(r.work_id, r.confidence) for r in got.collect()} == {(3, 0.94)} and got.count() == 1500
+
+
+def test_best_candidates_are_those_of_all_pairs(spark):
+    rng = random.Random(4)
+    some = ["gait", "sleep", "tremor", "ataxia", "falunamab", "zelofen", "motor", "neuropathy", "cohort", "a", "of", "in"]
+    works, refs = [], []
+    for i in range(60):
+        title = " ".join(rng.choices(some, k=rng.randint(1, 6)))
+        works.append((rng.choice([i, i, None]), title, rng.choice([2000, 2001, 2005, None]), rng.choice(["Roe", "Doe", None]), rng.choice(["12", None]), "34-40"))
+        letters = list(title)
+        for _ in range(rng.randint(0, 5)):
+            letters[rng.randrange(len(letters))] = rng.choice("aeiou ")
+        refs.append((i, rng.choice([f"Roe A. {''.join(letters)}. J Gait 12, 34-40", title, f"{''.join(letters)}, 2001", "", None]), rng.choice(["roe", "Doe", "", None]), rng.choice([2000, 2002, 2010, None])))
+    works = spark.createDataFrame(works, "work_id bigint, title string, year int, family string, volume string, pages string")
+    refs = spark.createDataFrame(refs, "ref_id bigint, raw string, first_author string, ref_year int")
+    best = {}
+    for r in linkage.candidate_pairs(refs, works).collect():
+        s = norm.partial_ratio(r.title.lower(), (r.raw or "").lower())
+        s -= 0.3 if None not in (r.year, r.ref_year) and abs(r.year - r.ref_year) > 1 else 0
+        s -= 0.15 if r.first_author and r.family and r.first_author.lower() != r.family.lower() else 0
+        best[r.ref_id] = max(best.get(r.ref_id, (0, 0)), (round(s, 6), -r.work_id))
+    want = {i: (-w, min(s, 0.94)) for i, (s, w) in best.items() if s >= 0.8}
+    assert len(want) > 10 and {r.ref_id: (r.work_id, r.confidence) for r in linkage.best_candidates(refs, works).collect()} == want
+
+
 def test_keyphrases_and_tags(spark):
     text = "Amyotrophic lateral sclerosis affects the motor neuron. The motor neuron degenerates. TDP-43 was found. Riluzole and riluzole and riluzole."
     got = [p for p, _ in tags.keyphrases(text)]
