@@ -288,3 +288,27 @@ def test_similar_edges_and_small_columns(spark):
     assert [r.m for r in w.collect()] == [["pmid", "arxiv"], ["doi", "pmid"]]
     codes = linkage.codes_once(spark.createDataFrame([("s", "de", 2), ("s", "en", 1), ("s", "de", 3), ("s", None, 0), (None, "fr", 1)], "g string, c string, o int"), "g", "c", "o")
     assert [(r.g, r.codes) for r in codes.collect()] == [("s", ["en", "de"])]
+
+
+def test_free_gives_back_memory_outside_the_heap(spark):
+    """Freed buffers between kept ones stay with the C library after a collection of garbage alone."""
+    import re
+    import time
+    from pathlib import Path
+
+    from docloom.session import free
+
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path(f"/proc/{pid}/status").read_text()).group(1)) / 1024
+    kept, gone = jvm.java.util.Vector(), jvm.java.util.Vector()
+    for i in range(1500):
+        (gone if i % 16 else kept).add(jvm.java.nio.ByteBuffer.allocateDirect(1 << 16))
+    gone.removeAllElements()
+    for _ in range(2):
+        jvm.System.gc()
+        time.sleep(0.5)
+    before = held()
+    free(spark)
+    assert held() < before - 40, (before, held())
+    kept.removeAllElements()
